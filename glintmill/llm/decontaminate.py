@@ -55,6 +55,11 @@ def _shingles(words: str) -> F.Column:
     return F.expr(f"CASE WHEN size({words}) < {SHINGLE} THEN CAST(array() AS array<string>) ELSE transform(array({text}), s -> IF(size(array_distinct(s)) = size(s), transform(s, x -> concat(x, ' #0')), {numbered}))[0] END")
 
 
+def _once(value) -> F.Column:
+    """``value``, computed once a row: a generator's output isn't copied into the expressions that use it."""
+    return F.explode(F.array(value))
+
+
 def _blocks(fp: str) -> F.Column:
     mask = (1 << BLOCK_BITS) - 1
     return F.expr(f"transform(sequence(0, {RADIUS}), b -> named_struct('b', b, 'bits', shiftrightunsigned({fp}, b * {BLOCK_BITS}) & {mask}L))")
@@ -90,7 +95,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     hits = d.select("doc_id", "words", F.posexplode(_runs("words")).alias("p", "run")).join(runs, "run")
     start = F.greatest(F.lit(0), F.least(F.col("p"), F.size("words") - F.col("n")))
     windows = hits.withColumn("n", F.explode("sizes")).select("doc_id", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words"))
-    windows = windows.withColumn("fp", _simhash("words")).withColumn("block", F.explode(_blocks("fp")))
+    windows = windows.withColumn("fp", _once(_simhash("words"))).withColumn("block", F.explode(_blocks("fp")))
     sides = items.select(F.col("n"), F.col("item_id"), F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), F.explode(_blocks("fp")).alias("block"))
     sides = sides.select("n", F.col("block.b").alias("b"), F.col("block.bits").alias("bits"), "item_id", "item_fp", "item_shingles")
     sides = common.beside(common.materialise(sides, "blocks"), common.BROADCAST_ROWS // 10)
@@ -98,7 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     met = windows.join(sides, ["n", "b", "bits"])
     near = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.col("b") == F.expr(_FIRST_BLOCK)))
     shared = F.size(F.array_intersect(_shingles("words"), F.col("item_shingles")))
-    scored = near.withColumn("shared", shared)
+    scored = near.withColumn("shared", _once(shared))
     union = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0)) + F.size("item_shingles") - F.col("shared")
     scored = scored.select("doc_id", "item_id", "start", (F.col("shared") / union).alias("similarity")).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best"))
