@@ -1,0 +1 @@
+"""A Spark engine for building, querying and measuring text retrieval."""

@@ -1,5 +1,9 @@
-"""SQL of the named queries."""
+"""SQL that computes the named queries independently, for DuckDB."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from glintmill.queries import PLANS
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for plan in PLANS for name, text in plan.SQL.items()}
