@@ -34,7 +34,7 @@ ALLOWED = (
     r"//",  # paths
 )
 #: c * log2(c) in millionths, so that sums are exact whatever their order.
-PARTS = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 1)]
+PARTS = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 2)]  # one more: a character enters before one leaves
 MOST = {k: math.floor(WINDOW * (math.log2(WINDOW) - b) * 1e6) for k, b in BITS.items()}
 REDACTED = "[SECRET]"
 

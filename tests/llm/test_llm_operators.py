@@ -1,0 +1,478 @@
+"""The training-data operators: against brute force, exact round trips, and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from html import unescape
+from itertools import combinations, product
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glintmill.llm import bpe_codec, common, components, decontaminate, html_text, quality, secret_scan, sharding, simhash_dedup, token_counts, tokenizer_files, topk, warc
+from glintmill.llm.queries import oracle_sql, queries
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+ODD = [None, "", " ", "\n\t", "a", "word " * 3000, "x" * 5000, "Ünï cödé 中文 🙂", "<|endoftext|> hi <|startoftext|>", "same text", "same text", "AKIA", "token="]
+
+
+def table(spark, texts, ids=None, more=True):
+    """Documents with columns whose names clash with those in use."""
+    rows = [(i, t, "TEXT", "fp", 1) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string, fp string, bits int")
+    return df if more else df.select("doc_id", "text")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return table(spark, ODD, [*range(len(ODD) - 2), None, 3])
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_is_its_sql(name, against_sql):
+    against_sql(queries()[name], oracle_sql()[name])
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "doc_id long, TEXT string, text string")
+    assert common.pick(df, "doc_id", "text").first().text == "b"
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n long").toDF("doc_id", "text", "doc_id")
+    assert common.pick(df, "doc_id", "text").first().doc_id == 1
+
+
+OVER_DOCS = {
+    "tokens": lambda d: token_counts.count_tokens(d, tokenizer_files.path("word_bpe_49k.json")),
+    "codec": lambda d: bpe_codec.encode_and_decode(d, tokenizer_files.path("byte_bpe_50k.json")),
+    "ids": lambda d: bpe_codec.encode_ids(d, tokenizer_files.path("byte_bpe_50k.json")),
+    "secrets": secret_scan.scan,
+    "redacted": secret_scan.redacted,
+    "dedup": simhash_dedup.near_duplicates,
+    "shards": lambda d: sharding.shards(d, 1000),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OVER_DOCS))
+def test_odd_rows_each_give_a_row(odd, name):
+    assert OVER_DOCS[name](odd).count() == len(ODD)
+
+
+@pytest.mark.parametrize("name", sorted(OVER_DOCS))
+def test_no_rows_give_none(spark, name):
+    assert OVER_DOCS[name](table(spark, [])).count() == 0
+
+
+# ---- 1
+
+
+def test_decontamination_finds_near_copies_only(spark):
+    rng = random.Random(1)
+    item = prose(rng, 40)
+    words = item.split()
+    near, far = [*words], [*words]
+    near[38] = "changed"
+    far[5], far[15], far[25] = "a", "b", "c"
+    texts = [prose(rng, 300), prose(rng, 50) + " " + item.upper().replace(" ", ", ") + " " + prose(rng, 50), prose(rng, 9) + " " + " ".join(near), " ".join(far) + " " + prose(rng, 99), item, None, ""]
+    bench = spark.createDataFrame([(7, item, "x"), (8, "too short", "x"), (9, None, "x")], "item_id long, text string, fp string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.matches(table(spark, texts), bench).collect()}
+    # Of 36 shingles the edit leaves the first 34.
+    assert got == {(1, 7): (50, 1.0), (2, 7): (9, round(34 / 38, 6)), (4, 7): (0, 1.0)}
+    kept = decontaminate.without_benchmark(table(spark, texts), bench)
+    assert {r.doc_id for r in kept.collect()} == set(range(7)) - {d for d, _ in got}
+
+
+def test_decontamination_is_brute_force(spark):
+    """All windows of an item's size in all documents, their weighted shingles counted out."""
+    rng = random.Random(2)
+    items = [(i, prose(rng, n)) for i, n in enumerate((8, 30, 60, 60))] + [(4, "echo " * 20)]
+    texts = []
+    for i in range(60):
+        words = prose(rng, rng.randint(5, 90)).split()
+        if i % 2:
+            copied = rng.choice(items)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copied[rng.randrange(len(copied))] = "edit"
+            at = rng.randint(0, len(words))
+            words[at:at] = copied[rng.choice([0, 0, 2]) :]
+        texts.append(" ".join(words))
+    shingles = lambda w: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    expected = {}
+    for d, text in enumerate(texts):
+        w = text.split()
+        for item_id, item in items:
+            s = Counter(shingles(item.split()))
+            n = len(item.split())
+            for start in range(max(1, len(w) - n + 1)):
+                t = Counter(shingles(w[start : start + n]))
+                best = sum((s & t).values()) / max(1, sum((s | t).values()))
+                if best >= 0.8:
+                    expected[d, item_id] = max(expected.get((d, item_id), 0), round(best, 6))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(table(spark, texts), bench).collect()}
+    assert got == expected and len(got) > 10
+
+
+def test_decontamination_without_items(spark):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.matches(table(spark, ["a b c d e f"]), empty).count() == 0
+    assert decontaminate.matches(table(spark, []), empty).count() == 0
+
+
+# ---- 2
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_arc_round_trip(version):
+    given = [(f"http://h/{i}", "1.2.3.4", "20010203040506", "text/html", c) for i, c in enumerate([b"", b"x\ny\n", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nWARC/1.1\r\n"])]
+    got = list(warc.read_arc(warc.write_arc(given, version)))
+    assert [(r.fields["URL"], r.content) for r in got] == [(g[0], g[4]) for g in given]
+    head, block = warc.to_warc(got[2])
+    assert "WARC-Date: 2001-02-03T04:05:06Z" in head and "WARC-Type: response" in head and warc.digest(b"body\r\n\r\nWARC/1.1\r\n") in head
+    assert warc.to_warc(got[2]) == (head, block)
+    assert "WARC-Type: resource" in warc.to_warc(got[1])[0]
+    back = list(warc.read_warc([(head.encode() + block + b"\r\n\r\n")[i : i + 7] for i in range(0, 2000, 7)]))
+    assert len(back) == 1 and back[0][1] == block
+
+
+def test_broken_arcs_raise():
+    good = warc.write_arc([("http://h", "1.2.3.4", "20010203040506", "text/html", b"abc")], "1")
+    for bad in (good[:-3], good.replace(b" 3\n", b" x\n"), good[10:], b"http://h 1 2 text/html 1\nx\n", good.replace(b"http://h ", b"http://h /x ")):
+        with pytest.raises(warc.ArchiveError):
+            list(warc.read_arc(bad))
+
+
+def test_warc_of_odd_pages(spark):
+    rows = [(1, "u", "same"), (2, "u v", "same"), (3, None, ""), (4, "", None), (5, "u", "a\r\n\r\nWARC/1.1\r\nb"), (None, "u", "same"), (6, "ü\n", "é" * 9000), (6, "x", "é" * 9000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha string")
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.records(pages).collect()), key=repr)
+    assert got == sorted([(1, 4, "revisit", 2), (2, 4, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 16, "response", None), (0, 4, "revisit", 2), (6, 18000, "response", None), (6, 18000, "response", None)], key=repr)
+    assert warc.records(pages.filter("page_id > 99")).count() == 0
+    assert {r.record_type for r in warc.records(pages, least=10**6).collect()} == {"response"}
+
+
+# ---- 3
+
+
+def test_shards_are_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["x" * rng.randint(0, 400) for _ in range(300)]
+    rows = sharding.shards(table(spark, texts), 3000).collect()
+    bits = lambda s: format(int(hashlib.md5(s.encode()).hexdigest()[:12], 16), "048b")
+    keys = {i: bits(str(i)) + bits(t) for i, t in enumerate(texts)}
+    for r in rows:
+        depth = next(d for d in range(97) if sum(len(texts[i]) for i, k in keys.items() if k[:d] == keys[r.doc_id][:d]) <= 3000)
+        assert (r.depth, r.shard) == (depth, keys[r.doc_id][:depth])
+        assert r.shard_bytes == sum(len(texts[i]) for i, k in keys.items() if k[:depth] == r.shard) <= 3000
+
+
+def test_repeated_and_oversized_rows_are_sharded(spark):
+    texts = ["x" * 100] * 50 + ["y" * 5000] + [f"{i}" * 40 for i in range(50)]
+    ids = [1] * 50 + [2] + [None] * 50
+    rows = sharding.shards(table(spark, texts, ids), 1000).collect()
+    assert len(rows) == 101
+    sizes = {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.n_bytes
+    assert all(sizes[r.shard] == r.shard_bytes for r in rows)
+    assert sorted(v for v in sizes.values() if v > 1000) == [5000]
+    with pytest.raises(ValueError):
+        sharding.shards(table(spark, texts, ids), 0)
+
+
+def test_written_shards(spark, tmp_path):
+    d = sharding.write_shards(table(spark, ["x" * 100] * 40, more=False), str(tmp_path / "s"), 1000)
+    assert d.agg(F.sum("rows")).first()[0] == 40 and d.agg(F.max("bytes")).first()[0] <= 1000
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 40
+
+
+# ---- 4
+
+
+def test_top_k_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    v[100:200] = v[7]  # one vector very often
+    v[:60] *= 0.1
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (950, [None] * 8), (960, [float("nan")] * 8), (970, [float("inf")] * 8), (1000, [1.0, 2.0]), (None, v[0].tolist())]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    got = {}
+    for r in topk.top_k(e, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    q = np.floor(256 * v.astype(float)).astype(np.int64)
+    for i in range(0, 300, 50):
+        s = q @ q[i]
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert got.pop(i) == [(j, s[j]) for j in order]
+    assert not got
+
+
+def test_top_k_of_few(spark):
+    e = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(e, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 256 * 512), (2, -256 * 256)]
+    assert topk.top_k(e.limit(0), F.col("vec_id") == 0).count() == 0
+    assert topk.top_k(e.limit(1), F.col("vec_id") == 0).count() == 0
+
+
+# ---- 5
+
+
+def test_blocks():
+    found = html_text.blocks('<p>a <b>b</b>\n&amp; c<br>d<p>e<script>var t="</p>";</script><!-- x --><ul><li>f<li>g</ul>&#8364;&nbsp;<div')
+    assert [b.text for b in found] == ["a b & c d", "e", "f", "g", "€ <div"]
+    assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<p> </p><!-- ") == []
+    assert [b.text for b in html_text.blocks("just text")] == ["just text"]
+
+
+def test_field_on_unseen_pages():
+    rng, good, all_ = random.Random(12345), 0, 0
+    model = html_text.field()
+    for _ in range(150):
+        page, labels = html_text.made_page(rng)
+        found = html_text.blocks(page)
+        assert len(found) == len(labels)
+        good += sum(a == b for a, b in zip(model.decode(html_text.features(found)), labels, strict=True))
+        all_ += len(labels)
+    assert good / all_ > 0.98
+
+
+def test_viterbi_is_brute_force():
+    rng = random.Random(5)
+    f = html_text.Field({c: rng.uniform(-2, 2) for c in "abcd"}, ((0.3, -0.7), (-0.2, 0.5)))
+    for _ in range(30):
+        rows = [[rng.choice("abcd") for _ in range(2)] for _ in range(6)]
+        total = lambda y: sum(sum(f.weights[x] for x in r) * b for r, b in zip(rows, y, strict=True)) + sum(f.pairs[a][b] for a, b in zip(y, y[1:], strict=False))
+        assert total(f.decode(rows)) == pytest.approx(max(map(total, product((0, 1), repeat=6))))
+
+
+def test_articles_of_the_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in html_text.extract(pages).collect():
+        body = re.search(r"<article>(.*?)</article>", html[r.page_id], re.S)[1]
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>" + "w " * 50000, "x")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r.n_chars for r in html_text.extract(pages).collect()}
+    assert got[1] == 0 and got[None] == 0 and len(got) == 3
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# ---- 6
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern, group, least in (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)):
+        out += [(m.start(), kind, m.end()) for m in re.compile(pattern, re.A).finditer(text) if len(m[group]) >= least]
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[1])))
+
+
+def test_base_spans_are_those_of_the_patterns(spark):
+    rng = random.Random(6)
+    parts = ["token", "Password", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCDEFGHIJKLMNOPQR1", "deadbeef" * 4, "abc", "é", "🙂", "\n", "secret", "x.y-z/Q+", "0123456789abcdef", "AKIAAKIA"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", None, "token=token:abcdefgh", "token==abcdef"]
+    for r in secret_scan.scan(table(spark, texts)).collect():
+        spans = plain_spans(texts[r.doc_id] or "")
+        listed = ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), texts[r.doc_id]
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in ("assign", "access", "hex"))
+
+
+def test_entropy_spans(spark):
+    key = "q7Zt9XbR2mLw8KdPv4Ys6HnJ"
+    texts = [f"key {key} end", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "9F3A0C7E5B1D2846F3A90C7E5B1D", "123e4567-e89b-12d3-a456-426614174000", f"example{key}", "thisisaverylongwordwithoutdigitsatall", f"🙂 x{'a' * 30}1{key}"]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(table(spark, texts)).collect()}
+    assert got[0] == f"entropy_base64:4:{4 + len(key)}"
+    assert got[2].startswith("entropy_hex:0:")
+    assert [got[i] for i in (1, 3, 4, 5)] == ["", "", "", ""]
+    assert got[6].startswith("entropy_base64:") and got[6].endswith(f":{len(texts[6])}")
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "a token=abcdefgh b token: 'deadbeefdeadbeefdeadbeefdead' c", 9, "x"), (2, "clean", 5, "y"), (3, None, None, None)], "doc_id long, text string, n_chars long, lang string")
+    got = {r.doc_id: r for r in secret_scan.redacted(df).collect()}
+    assert got[1].text == "a [SECRET] b [SECRET]' c" and got[1].n_chars == len(got[1].text) and got[1].lang == "x"
+    assert (got[2].text, got[2].n_chars, got[3].text, got[3].n_chars) == ("clean", 5, None, None)
+
+
+# ---- 7
+
+
+def test_quality_of_held_out_rows(spark, tmp_path):
+    """Trained on small tables, tried on the rows that are held out."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows) and len(rows) > 50
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_quality_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (6, None, 0), (7, 5, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(odd, labels).collect()
+    assert len(rows) == len(ODD)
+    assert {r.score for r in rows if r.doc_id in (0, 1, 2)} == {0.0}
+    assert quality.classify(odd.limit(0), labels.limit(0)).count() == 0
+
+
+# ---- 8 and 10
+
+TEXTS = ["", " ", "a", "Hello world's END", "<|endoftext|>hi <|startoftext|>x", "ΣΑΣ Σ İstanbul ẞ ﬁ", "中文 ٣٤ ½² é", "a" * 700, "it's we'll 'RE  \n\n\t x", "🙂🙂 👩‍👩‍👧", "<|endoftext|", "don't\x85z\x1c\x1d", "x　y", "déjà vu; ñandú?", "THHEEN!! of*** | a"]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_are_the_library_s(spark, sf_dir, file):
+    from tokenizers import Tokenizer
+
+    texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    whole = Tokenizer.from_file(tokenizer_files.path(file))
+    ids = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    if file.startswith("word"):
+        got = {r.doc_id: r for r in token_counts.count_tokens(table(spark, texts), tokenizer_files.path(file)).collect()}
+        for i, (t, x) in enumerate(zip(texts, ids, strict=True)):
+            assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (len(x), len(t.encode()), len(x) > 2048)
+    else:
+        got = {r.doc_id: r for r in bpe_codec.encode_and_decode(table(spark, texts), tokenizer_files.path(file)).collect()}
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for i, x in enumerate(ids):
+            assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(x), sha(",".join(map(str, x))), sha(whole.decode(x, skip_special_tokens=False)))
+
+
+def test_random_words_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    whole = Tokenizer.from_file(tokenizer_files.path("byte_bpe_50k.json"))
+    codec = bpe_codec.codec(tokenizer_files.path("byte_bpe_50k.json"))
+    for _ in range(3000):
+        t = "".join(rng.choice("aabeinorst  é'.0") for _ in range(rng.randint(1, 30)))
+        ids = codec.encode(t)
+        assert ids == whole.encode(t, add_special_tokens=False).ids and codec.decode(ids) == t
+    assert codec.decode([188, 50256]) == whole.decode([188, 50256], skip_special_tokens=False)
+
+
+# ---- 9
+
+
+def linked(prints):
+    root = list(range(len(prints)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(prints))]
+
+
+def simhash(text):
+    import xxhash
+
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates_are_brute_force(spark):
+    rng = random.Random(9)
+    base = [prose(rng, 200) for _ in range(6)]
+    texts = [None, "", " ", "one", "One", "a b c"]
+    for _ in range(150):
+        w = rng.choice(base).split() if rng.random() < 0.7 else prose(rng, rng.randint(1, 60)).split()
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(rng.choice([" ", "\n", "\t "]).join(w))
+    prints = [simhash(t) for t in texts]
+    roots = linked(prints)
+    got = {r.doc_id: r for r in simhash_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert [int(got[i].fingerprint, 16) for i in range(len(texts))] == prints
+    assert [got[i].component_id for i in range(len(texts))] == roots
+    kept = simhash_dedup.without_duplicates(table(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots)) and kept.columns == table(spark, []).columns
+
+
+def test_every_four_positions_hold_a_triple():
+    assert all(any(set(t) <= set(four) for t in simhash_dedup.TRIPLES) for four in combinations(range(8), 4))
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_long_lists_lose_no_link(spark, block):
+    rng = random.Random(10)
+    centre = rng.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(120)} | {rng.getrandbits(64) for _ in range(50)}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    root = {r.node: r.root for r in components.connected(simhash_dedup.linked(df, block)).collect()}
+    got = [root.get(x, x) for x in signed]
+    expected = linked(prints)
+    assert [got.index(g) for g in got] == [expected.index(e) for e in expected]
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(7, 7), (0, 1)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
+    assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_rows_leave_one(spark):
+    got = simhash_dedup.without_duplicates(table(spark, ["same words here now"] * 4 + [None, None, "x y z"], [3, 3, None, 5, None, None, None])).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == [(-1, ""), (-1, "x y z"), (3, "same words here now")]
+
+
+# ---- pipeline
+
+
+def test_pipeline_is_brute_force(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs, labels)
+    rows = {r.doc_id: r.text for r in docs.collect() if quality.score(r.text, model) >= 0.3}
+    ids = sorted(rows)
+    roots = linked([simhash(rows[i]) for i in ids])
+    ids = [i for n, i in enumerate(ids) if roots[n] == n]
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    ids = [i for i in ids if not any(b in rows[i] for b in bench.values())]
+    got = {r.doc_id: r for r in p.run(spark, sf_dir).collect()}
+    # Passages that are only nearly those of the benchmark go too: the windows are in the operator's own test.
+    assert set(got) <= set(ids) and len(got) >= len(ids) - 5
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_files.path("byte_bpe_50k.json"))
+    for i in list(got)[:50]:
+        text, cut, at = rows[i], [], 0
+        for s, _, e in plain_spans(text):
+            if s >= at:
+                cut += [text[at:s], secret_scan.REDACTED]
+            at = max(at, e)
+        assert got[i].n_tokens == len(whole.encode("".join([*cut, text[at:]]), add_special_tokens=False).ids)
+
+
+def test_stages_of_the_pipeline_keep_columns(spark, odd):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, odd, d).columns == odd.columns
