@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glintmill.functions import markup as M
 from glintmill.functions import text as T
+from glintmill.operators.ordered import order_statistics, running_total
 
 BUDGET = 254
 CUT = 2 * BUDGET
@@ -195,19 +196,19 @@ def stratified(rows: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
 
 
 def systematic(rows: DataFrame, stratum: str, key: str, size: int) -> DataFrame:
-    """Every (n div size)-th row of a stratum, ``size`` at most."""
+    """Every (n div size)-th row of a stratum in the order of ``key``, ``size`` at most."""
     counts = rows.groupBy(stratum).agg(F.greatest(F.lit(1), F.expr(f"count(*) div {size}")).alias("step"))
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1).join(F.broadcast(counts), stratum)
-    return numbered.filter((F.col("i") % F.col("step") == 0) & (F.expr("i div step") < size)).drop("i", "step")
+    numbered = running_total(rows, [stratum], key, F.lit(1)).join(F.broadcast(counts), stratum)  # a row a stratum
+    return numbered.filter((F.col("before") % F.col("step") == 0) & (F.expr("before div step") < size)).drop("before", "step")
 
 
 def density(docs: DataFrame, kind: str) -> DataFrame:
     """Characters a token by kind: mean, median, the value at a tenth of the sorted list, least; texts without tokens are left out."""
     r = docs.select(kind, F.length("text").alias("c"), T.token_count(F.col("text")).alias("t")).filter("t > 0").withColumn("ratio", F.col("c") / F.col("t"))
-    w = Window.partitionBy(kind).orderBy("ratio")
-    r = r.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(kind)))
-    return r.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg(F.col("ratio").cast("decimal(20,12)")).cast("double"), 6).alias("mean"), F.round(F.percentile("ratio", 0.5), 6).alias("median"),
-                               F.round(F.max(F.when(F.col("i") == F.floor(F.col("n") * 0.1), F.col("ratio"))), 6).alias("p10"), F.round(F.min("ratio"), 6).alias("least"))
+    n = F.col("n")
+    at = order_statistics(r, kind, "ratio", {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "tenth": F.floor(n * 0.1)})
+    plain = r.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg(F.col("ratio").cast("decimal(20,12)")).cast("double"), 6).alias("mean"), F.round(F.min("ratio"), 6).alias("least"))
+    return plain.join(at, kind).select(kind, "n", "mean", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), F.round("tenth", 6).alias("p10"), "least")
 
 
 def density_verdict(by_kind: DataFrame, kind: str) -> DataFrame:
@@ -226,7 +227,6 @@ def table_rows(blocks: DataFrame, key: str) -> DataFrame:
 
 def combined_offsets(pages: DataFrame, n_header: int) -> DataFrame:
     """Line numbers of pages (n, text) in one file with, before each page, a blank line, a marker line and a blank line."""
-    sized = pages.withColumn("n_lines", F.size(F.split("text", "\n")))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("n_lines") + 3).over(w), F.lit(0))
-    return sized.select("n", T.title(F.col("text")).alias("title"), "n_lines", (n_header + before + 4).alias("body_line"))
+    sized = pages.withColumn("n_lines", F.size(F.split("text", "\n"))).withColumn("_all", F.lit(0))
+    sized = running_total(sized.select("n", T.title(F.col("text")).alias("title"), "n_lines", "_all"), ["_all"], "n", F.col("n_lines") + 3)
+    return sized.select("n", "title", "n_lines", (n_header + F.col("before") + 4).alias("body_line"))

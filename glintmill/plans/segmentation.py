@@ -111,7 +111,7 @@ def table_conservation(spark, d):
 
 
 def combined_offsets(spark, d):
-    pages = docs_of(spark, d).filter("doc_id < 30").select(F.col("doc_id").alias("n"), "text")
+    pages = docs_of(spark, d).select(F.col("doc_id").alias("n"), "text")
     return S.combined_offsets(pages, 12)
 
 
@@ -165,5 +165,5 @@ SQL = {
     "table_cells": f"SELECT n_nationkey, generate_subscripts(c, 1)::INT - 1 AS pos, unnest(c) AS cell FROM (SELECT n_nationkey, {_CELLS} AS c FROM nation)",
     "table_rows": "SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1)::INT AS \"row\", n_name || ' x' || chr(10) || 'Key: a|b | ' || n_nationkey || chr(10) || 'Column 4: tail' AS rendered FROM nation",
     "table_conservation": "SELECT n_regionkey, count(*) AS n_rows, 4 * count(*) AS n_cells FROM nation GROUP BY 1",
-    "combined_offsets": "WITH p AS (SELECT doc_id AS n, text, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE doc_id < 30) SELECT n, '(untitled)' AS title, n_lines::INT AS n_lines, (12 + coalesce(sum(n_lines + 3) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 4)::BIGINT AS body_line FROM p",
+    "combined_offsets": "WITH p AS (SELECT doc_id AS n, text, len(string_split(text, chr(10))) AS n_lines FROM documents) SELECT n, '(untitled)' AS title, n_lines::INT AS n_lines, (12 + coalesce(sum(n_lines + 3) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 4)::BIGINT AS body_line FROM p",
 }

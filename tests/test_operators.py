@@ -279,3 +279,38 @@ def test_chunks_of_a_stream(spark, tmp_path):
     query = chunk_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == segment.greedy_chunks(docs(spark, ["one two", "three " * 400])).count()
+
+
+def test_running_totals_and_order_statistics(spark):
+    import random
+
+    from glintmill.operators import ordered
+
+    rng = random.Random(1)
+    rows = [(k, i * 50_000, rng.random() * 9) for i in range(40) for k in "ab"]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    got = {(r.k, r.i): r.before for r in ordered.running_total(df, ["k"], "i", F.lit(2)).collect()}
+    assert got == {(k, i): 2 * (i // 50_000) for k, i, _ in rows}
+    stats = ordered.order_statistics(df, "k", "x", {"first": F.lit(0), "tenth": F.floor(F.col("n") * 0.1), "last": F.col("n") - 1}).collect()
+    for r in stats:
+        xs = sorted(x for k, _, x in rows if k == r.k)
+        assert (r["first"], r.tenth, r.last) == (xs[0], xs[4], xs[-1])
+
+
+def test_reports(spark):
+    from glintmill.operators import report
+
+    df = spark.createDataFrame([("b", 1234.5678, 1), ("a", None, 2)], "variant string, mean double, n int")
+    assert report.markdown(df, ["variant"]) == "| variant | mean | n |\n|---|---|---|\n| a | undefined | 2 |\n| b | 1234.568 | 1 |\n"
+    with pytest.raises(ValueError):
+        report.markdown(df, ["n"], most=1)
+    diffs = spark.createDataFrame([("x-y", "m", True), ("x-z", "m", False)], "comparison string, metric string, excludes_zero boolean")
+    assert report.confidence(df.withColumn("metric", F.lit("m")), diffs).endswith("1 of 2 exclude zero.\n")
+
+
+def test_interval_of_reciprocal_ranks(spark):
+    ranks = [1, 1, 2, 3, 5, 8, 10, 15, None, None]
+    rows = [("v", i, "r", True, 1.0 / r if r else 0.0) for i, r in enumerate(ranks)]
+    values_ = spark.createDataFrame([(v, i, m, x) for v, i, m, _, x in rows], "k string, cluster long, metric string, value double")
+    r = bootstrap.intervals(values_, ["k"], reps=400).first()
+    assert r.mean == pytest.approx(sum(1.0 / x for x in ranks if x) / len(ranks), abs=1e-6) and r.lo < r.mean < r.hi
