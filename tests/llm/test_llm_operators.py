@@ -291,7 +291,7 @@ def test_base_spans_are_those_of_the_patterns(spark):
 
 def test_entropy_spans(spark):
     key = "q7Zt9XbR2mLw8KdPv4Ys6HnJ"
-    texts = [f"key {key} end", "z" * 30 + "1", "9F3A0C7E5B1D2846F3A90C7E5B1D", "123e4567-e89b-12d3-a456-426614174000", f"example{key}", "thisisaverylongwordwithoutdigitsatall", f"🙂 x{'a' * 30}1{key}"]
+    texts = [f"key {key} end", "z" * 30 + "1", "9F3A0C7E5B1D2846F3A90C7E5B1D", "123e4567-e89b-12d3-a456-426614174000", f"example{key}", "thisisaverylongwordwithoutdigitsatall", f"🙂 x{'z' * 30}1{key}"]
     got = {r.doc_id: r.spans for r in secret_scan.scan(table(spark, texts)).collect()}
     assert got[0] == f"entropy_base64:4:{4 + len(key)}"
     assert got[2].startswith("entropy_hex:0:")
