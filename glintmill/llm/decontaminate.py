@@ -80,7 +80,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return common.materialise(items.distinct().select("item_id", "n", "words", _shingles("words").alias("shingles"), _simhash("words").alias("fp")), "items")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
     """Windows that match an item: doc_id, item_id, start (word), similarity; one row per document and item, the best.
 
     Of equal windows the first counts. Words are runs of letters and digits in lower case. A document shorter than an item
@@ -88,34 +88,50 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     included, count as one document. Repeated items with different ids each match. Further columns are ignored; an empty
     table on either side gives no rows.
     """
+    scored = _scored(docs, benchmark, similarity, broadcast_rows)
+    best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.start").alias("start"), F.round(-F.col("best.s"), 6).alias("similarity"))
+
+
+def _row(doc_id, text) -> F.Column:
+    return F.xxhash64(doc_id, text)
+
+
+def _scored(docs: DataFrame, benchmark: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+    """Every window that matches: doc_id, row (a hash of id and text), item_id, start, similarity."""
     items = items_of(benchmark)
     runs = items.select("n", F.explode(_runs("words")).alias("run")).distinct()
-    runs = common.beside(common.materialise(runs.groupBy("run").agg(F.sort_array(F.collect_set("n")).alias("sizes")), "runs"))
-    d = common.pick(docs, "doc_id", "text").select("doc_id", words_of(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
-    hits = d.select("doc_id", "words", F.posexplode(_runs("words")).alias("p", "run")).join(runs, "run")
+    runs = common.materialise(runs.groupBy("run").agg(F.sort_array(F.collect_set("n")).alias("sizes")), "runs")
+    d = common.pick(docs, "doc_id", "text").select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
+    if common.small(runs, broadcast_rows):
+        hits = d.select("doc_id", "row", "words", F.posexplode(_runs("words")).alias("p", "run")).join(F.broadcast(runs), "run")
+    else:
+        # Runs of documents are shuffled by themselves; the words of a document come back to those that met an item.
+        met = d.select("row", F.posexplode(_runs("words")).alias("p", "run")).join(runs, "run").select("row", "p", "sizes").distinct()
+        hits = d.join(met, "row")
     start = F.greatest(F.lit(0), F.least(F.col("p"), F.size("words") - F.col("n")))
-    windows = hits.withColumn("n", F.explode("sizes")).select("doc_id", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words"))
+    # A window that begins at each run, or at the document's last place for it.
+    windows = hits.withColumn("n", F.explode("sizes")).select("doc_id", "row", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words"))
     windows = windows.withColumn("fp", _once(_simhash("words"))).withColumn("block", F.explode(_blocks("fp")))
     sides = items.select(F.col("n"), F.col("item_id"), F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), F.explode(_blocks("fp")).alias("block"))
     sides = sides.select("n", F.col("block.b").alias("b"), F.col("block.bits").alias("bits"), "item_id", "item_fp", "item_shingles")
-    sides = common.beside(common.materialise(sides, "blocks"), common.BROADCAST_ROWS // 10)
-    windows = windows.select("doc_id", "n", "start", "words", "fp", F.col("block.b").alias("b"), F.col("block.bits").alias("bits"))
+    sides = common.beside(common.materialise(sides, "blocks"), broadcast_rows // 10)
+    windows = windows.select("doc_id", "row", "n", "start", "words", "fp", F.col("block.b").alias("b"), F.col("block.bits").alias("bits"))
     met = windows.join(sides, ["n", "b", "bits"])
     near = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.col("b") == F.expr(_FIRST_BLOCK)))
     shared = F.size(F.array_intersect(_shingles("words"), F.col("item_shingles")))
     scored = near.withColumn("shared", _once(shared))
     union = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0)) + F.size("item_shingles") - F.col("shared")
-    scored = scored.select("doc_id", "item_id", "start", (F.col("shared") / union).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.start").alias("start"), F.round(-F.col("best.s"), 6).alias("similarity"))
+    return scored.select("doc_id", "row", "item_id", "start", (F.col("shared") / union).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark passage; all columns as they are. Rows with a null doc_id that match go together."""
-    found = common.materialise(matches(docs, benchmark).select(F.col("doc_id").alias("_d")).distinct(), "leaks")
+    """``docs`` without the rows that hold a benchmark passage; all columns as they are. A row goes by its own text, whatever others share its id."""
+    found = _scored(docs, benchmark, SIMILARITY, common.BROADCAST_ROWS).select(F.col("row").alias("_row")).distinct()
+    found = common.materialise(found, "leaks")
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    doc_id = F.col(f"_c{common.place(docs.columns, 'doc_id')}")
-    return flat.join(common.beside(found), doc_id.eqNullSafe(F.col("_d")), "left_anti").toDF(*docs.columns)
+    doc_id, text = (F.col(f"_c{common.place(docs.columns, n)}") for n in ("doc_id", "text"))
+    return flat.join(common.beside(found), _row(doc_id, text) == F.col("_row"), "left_anti").toDF(*docs.columns)
 
 
 ORACLE = rf"""

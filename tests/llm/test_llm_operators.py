@@ -114,8 +114,16 @@ def test_decontamination_is_brute_force(spark):
                 if best >= 0.8:
                     expected[d, item_id] = max(expected.get((d, item_id), 0), round(best, 6))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(table(spark, texts), bench).collect()}
-    assert got == expected and len(got) > 10
+    for rows in (common.BROADCAST_ROWS, 0):  # the second way is that of a large benchmark
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(table(spark, texts), bench, broadcast_rows=rows).collect()}
+        assert got == expected and len(got) > 10
+
+
+def test_a_leak_takes_no_other_row_of_its_id(spark):
+    item = " ".join(WORDS)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.without_benchmark(table(spark, [item, "clean", None, "also clean"], [None, None, None, 5]), bench)
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "also clean", "clean"]
 
 
 def test_decontamination_without_items(spark):
