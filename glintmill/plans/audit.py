@@ -36,7 +36,7 @@ def leak_sweep(spark, d):
 def answers(spark, d):
     """Answers made from ``supplier``: an identifier, a flag, a backticked name, a backticked common word and a span of two words."""
     a = F.concat(F.lit("Set `"), F.col("s_name"), F.lit("` with --use-key in settings.json, not `the thing` or `with`; see cleanupPeriodDays."))
-    return table(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("id"), a.alias("answer"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), a.alias("answer"))
 
 
 def answer_keys(spark, d):
@@ -186,7 +186,7 @@ SQL = {
     "shared_rare_terms": f"WITH {_SHARED} SELECT item_id, term, df FROM sh WHERE df <= {DF_MAX}",
     "leak_flags": f"WITH {_SHARED}, f AS (SELECT item_id, count(*) AS n_rare, min(df) AS rarest FROM sh WHERE df <= {DF_MAX} GROUP BY 1 HAVING count(*) >= {A.FLAG_TERMS}) SELECT *, (row_number() OVER (ORDER BY rarest, n_rare DESC, item_id))::INT AS place FROM f",
     "leak_sweep": f"WITH {_SHARED}, m AS (SELECT DISTINCT df AS df_max FROM sh), c AS (SELECT df_max, (SELECT count(*) FROM (SELECT item_id FROM sh WHERE df <= df_max GROUP BY 1 HAVING count(*) >= {A.FLAG_TERMS})) AS flagged FROM m) SELECT df_max, flagged FROM c QUALIFY flagged <> coalesce(lag(flagged) OVER (ORDER BY df_max), 0)",
-    "answer_keys": f"""WITH {sql.FREQUENCY}, s AS (SELECT s_suppkey AS id, s_name FROM supplier WHERE s_suppkey % 4 = 0),
+    "answer_keys": f"""WITH {sql.FREQUENCY}, s AS (SELECT s_suppkey AS id, s_name FROM supplier),
       w AS (SELECT coalesce((SELECT max(df) FROM freq WHERE term = 'with'), 0) AS df)
       SELECT * FROM (SELECT id, unnest(['--use-key', 'settings.json', 'cleanupPeriodDays', CASE WHEN NOT contains(s_name, ' ') THEN s_name END, CASE WHEN df <= {A.RARE_DF} THEN 'with' END]) AS key FROM s, w) WHERE key IS NOT NULL""",
     "restatements": f"WITH {_FOUND} SELECT id, doc_id FROM found",

@@ -63,7 +63,7 @@ def density_verdict(spark, d):
 def marked_up(spark, d):
     """Markdown with components, made from the rows of ``part``; the fence holds what must stay."""
     n = F.col("p_name")
-    return table(spark, d, "part").filter("p_partkey % 5 = 0").select("p_partkey", F.concat(
+    return table(spark, d, "part").select("p_partkey", F.concat(
         F.lit('<Note>\n<Tabs><Tab title="'), n, F.lit('">one</Tab><Tab>two</Tab></Tabs>\n{/* build\n note */}\n```\n<div>{/* kept */}</div>\n```\n<Steps>\n<Step title="'), n,
         F.lit('">a</Step><Step>b</Step>\n</Steps>\n<Accordion title="Why '), n, F.lit('?">x</Accordion><Card icon="i" title="'), n, F.lit('" href="h">body</Card>\n<Steps><Step title="again">c</Step></Steps><DIV class="x">y<br /></DIV></Note>\n```\nopen')).alias("text"))
 
@@ -137,7 +137,7 @@ _CHUNKS = f"""{_UNITS}, pk AS (SELECT doc_id, i, st, en, t, 0 AS idx, t AS total
   FROM pk p JOIN un u ON u.doc_id = p.doc_id AND u.i = p.i + 1),
   ch AS (SELECT doc_id, idx, min(st) AS char_start, max(en) AS char_end, sum(t)::INT AS n_tokens FROM pk GROUP BY ALL)"""
 _MD = r"""md AS (SELECT p_partkey, '<Note>' || chr(10) || '<Tabs><Tab title="' || p_name || '">one</Tab><Tab>two</Tab></Tabs>' || chr(10) || '{/* build' || chr(10) || ' note */}' || chr(10) || '```' || chr(10) || '<div>{/* kept */}</div>' || chr(10) || '```' || chr(10) || '<Steps>' || chr(10) || '<Step title="' || p_name
-  || '">a</Step><Step>b</Step>' || chr(10) || '</Steps>' || chr(10) || '<Accordion title="Why ' || p_name || '?">x</Accordion><Card icon="i" title="' || p_name || '" href="h">body</Card>' || chr(10) || '<Steps><Step title="again">c</Step></Steps><DIV class="x">y<br /></DIV></Note>' || chr(10) || '```' || chr(10) || 'open' AS text FROM part WHERE p_partkey % 5 = 0)"""
+  || '">a</Step><Step>b</Step>' || chr(10) || '</Steps>' || chr(10) || '<Accordion title="Why ' || p_name || '?">x</Accordion><Card icon="i" title="' || p_name || '" href="h">body</Card>' || chr(10) || '<Steps><Step title="again">c</Step></Steps><DIV class="x">y<br /></DIV></Note>' || chr(10) || '```' || chr(10) || 'open' AS text FROM part)"""
 # What the transformed and the numbered text must be, written out.
 _DONE = r"""chr(10) || chr(10) || 'Alternative (' || p_name || '):' || chr(10) || 'one' || chr(10) || 'Alternative:' || chr(10) || 'two' || chr(10) || chr(10) || '```' || chr(10) || '<div>{/* kept */}</div>' || chr(10) || '```' || chr(10) || chr(10) || chr(10) || '1. ' || p_name || chr(10) || 'a' || chr(10) || '2.' || chr(10) || 'b' || chr(10) || chr(10)
   || chr(10) || 'Why ' || p_name || '?' || chr(10) || 'x' || chr(10) || p_name || chr(10) || 'body' || chr(10) || chr(10) || '1. again' || chr(10) || 'cy' || chr(10) || '```' || chr(10) || 'open'"""
@@ -158,7 +158,7 @@ SQL = {
       p AS (SELECT lang, round(max(ratio) FILTER (i = floor(n * 0.1)), 6) AS p10 FROM o GROUP BY lang), v AS (SELECT arg_min(lang, (p10, lang)) AS binding, min(p10) AS p10, round(max(p10) / min(p10), 6) AS spread FROM p)
       SELECT *, CASE WHEN spread > 1.3 THEN 'by kind' WHEN p10 >= 3.5 THEN 'loose' WHEN p10 >= 2.5 THEN 'usual' ELSE 'tight' END AS verdict FROM v""",
     "fence_parity": f"WITH {_MD} SELECT p_partkey, 1 AS n_fences, sha256('```' || chr(10) || '<div>{{/* kept */}}</div>' || chr(10) || '```' || chr(10)) AS fences FROM md".replace("{{", "{").replace("}}", "}"),
-    "mdx_transform": f"SELECT p_partkey, {_DONE} AS text FROM part WHERE p_partkey % 5 = 0",
+    "mdx_transform": f"SELECT p_partkey, {_DONE} AS text FROM part",
     "mdx_steps": f"""WITH {_MD} SELECT p_partkey, replace(replace(text, '<Steps>' || chr(10) || '<Step title="' || p_name || '">a</Step><Step>b</Step>' || chr(10) || '</Steps>', chr(10) || chr(10) || '1. ' || p_name || chr(10) || 'a' || chr(10) || '2.' || chr(10) || 'b' || chr(10)),
       '<Steps><Step title="again">c</Step></Steps>', chr(10) || '1. again' || chr(10) || 'c') AS text FROM md JOIN part USING (p_partkey)""",
     "html_layout_strip": r"WITH s AS (SELECT page_id, regexp_replace(html, '(?i)</?(?:div|span|br|p|img|a)(?:\s[^>]*)?>', '', 'g') AS h FROM pages) SELECT page_id, length(h)::INT AS n_chars, sha256(h) AS sha256 FROM s",
