@@ -254,7 +254,7 @@ def made_page(rng: random.Random) -> tuple[str, list[int]]:
             else:
                 block("p", text, 0)
         elif kind == "form":
-            block(rng.choice(["label", "p", "legend"]) if False else "p", prose(1, 5), 0)
+            block("p", prose(1, 5), 0)
             out.append("<input type=text>")
             block("button", word(), 0)
         elif shape == "links":

@@ -159,7 +159,7 @@ def top_k(embeddings: DataFrame, queries: F.Column, k: int = 5) -> DataFrame:
                     best[key + raw] = begin(key, dim, raw)
                 state = best[key + raw]
                 q_ids, q, top, top_ids, floor, q_dist, q_square = state
-                if len(top[0] if len(top) else []) == k:
+                if top.shape[1] == k:
                     floor = np.maximum(floor, top[:, -1])
                 dist, x_ids = np.frombuffer(dist), np.frombuffer(ids, np.int64)
                 # score = (most + |q|^2 - distance^2) / 2: a score of at least the floor has at most this distance
