@@ -10,7 +10,6 @@ from glintmill.operators import judging as J
 from glintmill.operators.lexical import document_frequency, vocabulary
 from glintmill.plans import retrieval as R
 from glintmill.plans import sql
-from glintmill.plans.evaluation import prevalence_by_band  # noqa: F401
 from glintmill.sources import tables as S
 from glintmill.sources.tables import table
 
