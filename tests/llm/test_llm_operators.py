@@ -334,6 +334,7 @@ def test_quality_of_odd_rows(spark, odd):
     rows = quality.classify(odd, labels).collect()
     assert len(rows) == len(ODD)
     assert {r.score for r in rows if r.doc_id in (0, 1, 2)} == {0.0}
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert quality.classify(odd.limit(0), labels.limit(0)).count() == 0
 
 
