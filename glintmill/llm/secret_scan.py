@@ -22,17 +22,20 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 #: Characters of a window, and the bits of entropy a character that make a window suspicious, by class of the string.
 WINDOW = 20
 BITS = {"entropy_hex": 3.0, "entropy_base64": 3.8}
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-# Fixed list: candidates that match one of these hold no secret.
-ALLOWED = (
+# Fixed lists: candidates that match one of the first hold no secret; a piece (what / - _ part) with one of the second isn't part of a candidate.
+WHOLE = (
     r"^[^0-9]*$",  # words without a digit
     r"^[^A-Za-z]*$",  # numbers
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
+)
+IN_PIECE = (
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"(?i)0123456789|abcdefghij",
-    r"//",  # paths
 )
+_PIECE = rf"(?![A-Za-z0-9+]*?(?:{'|'.join(p.replace('(?i)', '(?i:') + ')' for p in IN_PIECE)}))[A-Za-z0-9+]++"
+#: Pieces joined by / - _, with such signs at the ends, but not the // of a URL; a quick look ahead, then at least one piece. May be shorter than a window.
+CANDIDATE = rf"(?:(?<![A-Za-z0-9+/_-])(?!//)|(?<=[/_-])(?=[A-Za-z0-9+]))(?=[A-Za-z0-9+/_-]{{{WINDOW}}})[/_-]*+{_PIECE}(?:[/_-]++{_PIECE})*+(?:[/_-]++(?![A-Za-z0-9+]))?"
 #: c * log2(c) in millionths, so that sums are exact whatever their order.
 PARTS = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 2)]  # one more: a character enters before one leaves
 MOST = {k: math.floor(WINDOW * (math.log2(WINDOW) - b) * 1e6) for k, b in BITS.items()}
@@ -56,14 +59,14 @@ def _matches(name: str, text: str, pattern: str, group: int, least: int, kind: i
 
 def _entropy(text: str) -> F.Column:
     """Spans of candidate strings between the first and the last suspicious window, as :func:`_matches`."""
-    allowed = " OR ".join("c.s RLIKE '" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in ALLOWED)
+    allowed = " OR ".join("c.s RLIKE '" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in WHOLE)
     parts = f"array({', '.join(f'{p}L' for p in PARTS)})"
     step_sum = f"(a.s + {parts}[a.n[c.codes[i]] + 1] - {parts}[a.n[c.codes[i]]] + IF(i >= {WINDOW}, {parts}[a.n[c.codes[i - {WINDOW}]] + IF(c.codes[i - {WINDOW}] = c.codes[i], 1, 0) - 1] - {parts}[a.n[c.codes[i - {WINDOW}]] + IF(c.codes[i - {WINDOW}] = c.codes[i], 1, 0)], 0L))"
     hit = f"(i >= {WINDOW - 1} AND {step_sum} <= c.most)"
     return F.expr(f"""
       CASE WHEN size(cand_found) = 0 THEN CAST(array() AS array<struct<start:int,kind:int,end:int>>) ELSE
       filter(transform(
-        transform(filter(zip_with({text}_spans, cand_found, (p, s) -> named_struct('start', p.start, 's', s)), c -> NOT ({allowed})),
+        transform(filter(zip_with({text}_spans, cand_found, (p, s) -> named_struct('start', p.start, 's', s)), c -> length(c.s) >= {WINDOW} AND NOT ({allowed})),
           c -> named_struct('start', c.start, 'codes', transform(slice(split(c.s, ''), 1, length(c.s)), x -> instr('{ALPHABET}', x)),
                             'kind', IF(c.s RLIKE '^[0-9a-fA-F]+$', 3, 4),
                             'most', IF(c.s RLIKE '^[0-9a-fA-F]+$', {MOST['entropy_hex']}L, {MOST['entropy_base64']}L))),
@@ -142,7 +145,7 @@ def _oracle() -> str:
             string_split_regex(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}')),
           {name} AS (SELECT rid, {i} AS kind, g[j] AS s, list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS st, length(m[j]) AS n
             FROM {name}_m, (SELECT unnest(range(1, 100000)) AS j) WHERE j <= len(m) AND length(g[j]) >= {least})""")
-    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in ALLOWED)
+    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in (*WHOLE, *IN_PIECE, "//"))
     parts = "[" + ", ".join(f"{p}" for p in PARTS) + "]"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

@@ -307,6 +307,17 @@ def test_entropy_spans(spark):
     assert got[6].startswith("entropy_base64:") and got[6].endswith(f":{len(texts[6])}")
 
 
+def test_an_allowed_piece_hides_no_other(spark):
+    key, keyed = "q7Zt9XbR2mLw8KdPv4Ys6HnJ3cFgT5aVeU1o", "q7Zt9XbR2mLw//8KdPv4Ys6HnJ"
+    texts = [f"https://ghp_{key}@github.com/o/r.git", f"data {keyed} end", f"sample/{key}", f"{key}-example", f"x_dummy_{key}_placeholder/y", f"example{key}", "a1/" * 100000 + "sample", f"///{key}"]
+    got = {r.doc_id: r.text for r in secret_scan.redacted(table(spark, texts)).collect()}
+    assert not [i for i in (0, 2, 3, 4, 7) if key in got[i]] and "KdPv4Ys" not in got[1]
+    assert got[0].startswith("https://") and got[0].endswith("@github.com/o/r.git") and got[2].startswith("sample/") and got[3].endswith("-example")
+    assert (got[5], got[6]) == (texts[5], texts[6])
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(table(spark, texts)).collect()}
+    assert all(spans[i].startswith("entropy_base64:") for i in (0, 1, 2, 3, 4, 7)) and spans[5] == spans[6] == ""
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b token: 'deadbeefdeadbeefdeadbeefdead' c", 9, "x"), (2, "clean", 5, "y"), (3, None, None, None)], "doc_id long, text string, n_chars long, lang string")
     got = {r.doc_id: r for r in secret_scan.redacted(df).collect()}
