@@ -91,7 +91,13 @@ def _with_spans(df: DataFrame) -> DataFrame:
     df = df.withColumn("text_spans", _matches("cand", "text", CANDIDATE, 0, 0, 0).cast("array<struct<start:int,kind:int,end:int>>"))
     df = df.withColumn("base", F.array_sort(F.concat(*[f"{n}_spans" for n, *_ in BASE])))
     df = df.withColumn("added", _entropy("text"))
-    return df.withColumn("spans", F.expr("array_sort(concat(base, filter(added, e -> NOT exists(base, b -> b.start < e.end AND e.start < b.end))))"))
+    # What base spans leave of an added span: base is sorted by start, so each cuts off what is before it and moves on to its end.
+    rest = """flatten(transform(added, e -> aggregate(filter(base, b -> b.start < e.end AND e.start < b.end),
+        named_struct('at', e.start, 'out', CAST(array() AS array<struct<start:int,kind:int,end:int>>)),
+        (a, b) -> named_struct('at', greatest(a.at, b.end), 'out', IF(b.start > a.at, concat(a.out, array(named_struct('start', a.at, 'kind', e.kind, 'end', b.start))), a.out)),
+        a -> IF(a.at < e.end, concat(a.out, array(named_struct('start', a.at, 'kind', e.kind, 'end', e.end))), a.out))))"""
+    # A rest of separators alone holds nothing.
+    return df.withColumn("spans", F.expr(f"array_sort(concat(base, filter({rest}, x -> substring(text, x.start + 1, x.end - x.start) RLIKE '[A-Za-z0-9+]')))"))
 
 
 def _listed(spans: str) -> str:
@@ -102,8 +108,8 @@ def _listed(spans: str) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy.
 
-    A null text is empty: no spans, the hash of the empty string. Added spans that overlap a span of the fixed patterns are
-    dropped. A null doc_id stays null; repeated rows each give a row; further columns are ignored; an empty table gives
+    A null text is empty: no spans, the hash of the empty string. Of an added span, what spans of the fixed patterns
+    leave is kept, in pieces. A null doc_id stays null; repeated rows each give a row; further columns are ignored; an empty table gives
     no rows.
     """
     df = _with_spans(common.pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))))
