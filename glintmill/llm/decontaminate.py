@@ -1,11 +1,11 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
-
-A window has as many words as an item. Windows are cut where a five-word run of the document also occurs in an item of
-that size; a window without such a run shares nothing with any item of its size, and one that doesn't begin at a shared
-run is no better than the next that does, so no match is lost by this. Each window gets a SimHash of its words, as items
-do. Fingerprints are cut into ``RADIUS + 1`` blocks: two fingerprints within the radius agree in one block at least, so
-a join on blocks finds all of them. Last, the weighted Jaccard similarity of five-word shingles is computed from the
-words themselves. DataFrame expressions only.
+"""Benchmark passages in documents: item-sized windows, counted exactly from shared five-word runs.
+
+A window has as many words as an item. The runs of five words of the items, with their counts, are joined with those of the
+documents. A window that shares no run with an item has similarity 0, and one that doesn't begin at a shared run is no
+better than the next that does, so the windows that begin at shared runs are all that count. For each document and item, a
+running sum over the places that they share gives the counts of all windows: a place costs the same whatever the length
+of the item. From the counts follows the weighted Jaccard similarity of the five-word shingles. Runs are told apart
+by a 64-bit hash of their words. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -17,13 +17,7 @@ from glintmill.llm import common
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits. A window at similarity 0.8 differs by one or two words, some 4 to 8 bits; 15 is three deviations further.
-RADIUS = 15
-BLOCK_BITS = 64 // (RADIUS + 1)
 WORD = r"[\p{L}\p{N}]+"
-#: Lanes of the packed counters: bits of every LANES-th place share a long, each with 16 bits to count in.
-LANES = 16
-LANE_MASK = 0x0001000100010001
 
 
 def words_of(text) -> F.Column:
@@ -36,23 +30,20 @@ def _runs(words: str) -> F.Column:
     return F.slice(at, 1, F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0)))
 
 
-def _simhash(words: str) -> F.Column:
-    """A bit is 1 if it is set in over half of the words' hashes. Counts of four bits are packed in a long, in chunks of 65535 words."""
-    lane = lambda k: f"(shiftrightunsigned(h, {k}) & {LANE_MASK}L)"
-    sums = ", ".join(f"a[{k}] + {lane(k)}" for k in range(LANES))
-    bits = []
-    for k in range(LANES):
-        for j in range(4):
-            count = f"(shiftrightunsigned(a[{k}], {16 * j}) & 65535L)"
-            bits.append(f"IF(2 * {count} > size({words}), shiftleft(1L, {k + 16 * j}), 0L)")
-    return F.expr(f"aggregate(transform({words}, w -> xxhash64(w)), array_repeat(0L, {LANES}), (a, h) -> array({sums}), a -> {' | '.join(bits)})")
+def _best_window() -> F.Column:
+    """struct(shared, start) of the best window, the first of equal ones, from ``hits``: a set of run, place, times in the item.
 
-
-def _shingles(words: str) -> F.Column:
-    """The five-word shingles of an array of words, numbered if one repeats, so that a plain set holds their weights."""
-    text = f"transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> concat_ws(' ', slice({words}, i, {SHINGLE})))"
-    numbered = "transform(s, (x, i) -> concat(x, ' #', CAST(size(filter(slice(s, 1, i), y -> y = x)) AS string)))"
-    return F.expr(f"CASE WHEN size({words}) < {SHINGLE} THEN CAST(array() AS array<string>) ELSE transform(array({text}), s -> IF(size(array_distinct(s)) = size(s), transform(s, x -> concat(x, ' #0')), {numbered}))[0] END")
+    A place counts in the windows that hold it but not, before it, as many equal runs as the item has: those that begin from
+    ``low`` to the place. So shared shingles at a begin are the lows up to it less the places before it, a running sum.
+    """
+    earlier = "get(h, i - x.most)"
+    steps = f"""transform(h, (x, i) -> named_struct('k', greatest(0, x.p - size + 1, coalesce(IF({earlier}.run = x.run, {earlier}.p + 1, 0), 0)), 'ask', 0, 'd', 1)),
+        transform(h, x -> named_struct('k', x.p + 1, 'ask', 0, 'd', -1)),
+        transform(array_distinct(transform(h, x -> least(x.p, greatest(n_doc - n, 0)))), x -> named_struct('k', x, 'ask', 1, 'd', 0))"""
+    better = "e.ask = 1 AND a.s > a.shared"
+    return F.expr(f"""transform(array(array_sort(hits)), h -> aggregate(array_sort(concat({steps})), named_struct('s', 0, 'shared', 0, 'start', 0),
+        (a, e) -> named_struct('s', a.s + e.d, 'shared', IF({better}, a.s, a.shared), 'start', IF({better}, e.k, a.start)),
+        a -> named_struct('shared', a.shared, 'start', a.start)))[0]""")
 
 
 def _once(value) -> F.Column:
@@ -60,24 +51,12 @@ def _once(value) -> F.Column:
     return F.explode(F.array(value))
 
 
-def _blocks(fp: str) -> F.Column:
-    mask = (1 << BLOCK_BITS) - 1
-    return F.expr(f"transform(sequence(0, {RADIUS}), b -> named_struct('b', b, 'bits', shiftrightunsigned({fp}, b * {BLOCK_BITS}) & {mask}L))")
-
-
-#: The first block in which the fingerprints agree: of the blocks that a pair meets in, the one that counts it.
-_UNLIKE = "(fp ^ item_fp)"
-_SOME = f"({_UNLIKE} | shiftrightunsigned({_UNLIKE}, 1) | shiftrightunsigned({_UNLIKE}, 2) | shiftrightunsigned({_UNLIKE}, 3))"
-_ALIKE = f"(~{_SOME} & {0x1111111111111111}L)"
-_FIRST_BLOCK = f"CAST(bit_count(({_ALIKE} & -{_ALIKE}) - 1L) / {BLOCK_BITS} AS int)"
-
-
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, words, shingles, fp) of items with at least five words; longer than 65535 words is refused."""
+    """(item_id, n, words) of items with at least five words; longer than 65535 words is refused."""
     items = common.pick(benchmark, "item_id", "text").select("item_id", words_of(F.col("text")).alias("words"))
     items = items.filter(F.size("words") >= SHINGLE).withColumn("n", F.size("words"))
     items = items.withColumn("n", F.when(F.col("n") < 65536, F.col("n")).otherwise(F.raise_error(F.lit("an item of over 65535 words")).cast("int")))
-    return common.materialise(items.distinct().select("item_id", "n", "words", _shingles("words").alias("shingles"), _simhash("words").alias("fp")), "items")
+    return items.distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
@@ -98,31 +77,19 @@ def _row(doc_id, text) -> F.Column:
 
 
 def _scored(docs: DataFrame, benchmark: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
-    """Every window that matches: doc_id, row (a hash of id and text), item_id, start, similarity."""
-    items = items_of(benchmark)
-    runs = items.select("n", F.explode(_runs("words")).alias("run")).distinct()
-    runs = common.materialise(runs.groupBy("run").agg(F.sort_array(F.collect_set("n")).alias("sizes")), "runs")
+    """The best window of each row and item that match: doc_id, row (a hash of id and text), item_id, start, similarity."""
+    items = items_of(benchmark).select("item_id", "n", F.xxhash64("item_id", "words").alias("item"), F.explode(_runs("words")).alias("run"))
+    runs = common.materialise(items.groupBy("run", "item_id", "item", "n").agg(F.count("*").cast("int").alias("most")), "runs")
     d = common.pick(docs, "doc_id", "text").select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
-    if common.small(runs, broadcast_rows):
-        hits = d.select("doc_id", "row", "words", F.posexplode(_runs("words")).alias("p", "run")).join(F.broadcast(runs), "run")
-    else:
-        # Runs of documents are shuffled by themselves; the words of a document come back to those that met an item.
-        met = d.select("row", F.posexplode(_runs("words")).alias("p", "run")).join(runs, "run").select("row", "p", "sizes").distinct()
-        hits = d.join(met, "row")
-    start = F.greatest(F.lit(0), F.least(F.col("p"), F.size("words") - F.col("n")))
-    # A window that begins at each run, or at the document's last place for it.
-    windows = hits.withColumn("n", F.explode("sizes")).select("doc_id", "row", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("words"))
-    windows = windows.withColumn("fp", _once(_simhash("words"))).withColumn("block", F.explode(_blocks("fp")))
-    sides = items.select(F.col("n"), F.col("item_id"), F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), F.explode(_blocks("fp")).alias("block"))
-    sides = sides.select("n", F.col("block.b").alias("b"), F.col("block.bits").alias("bits"), "item_id", "item_fp", "item_shingles")
-    sides = common.beside(common.materialise(sides, "blocks"), broadcast_rows // 10)
-    windows = windows.select("doc_id", "row", "n", "start", "words", "fp", F.col("block.b").alias("b"), F.col("block.bits").alias("bits"))
-    met = windows.join(sides, ["n", "b", "bits"])
-    near = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.col("b") == F.expr(_FIRST_BLOCK)))
-    shared = F.size(F.array_intersect(_shingles("words"), F.col("item_shingles")))
-    scored = near.withColumn("shared", _once(shared))
-    union = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0)) + F.size("item_shingles") - F.col("shared")
-    return scored.select("doc_id", "row", "item_id", "start", (F.col("shared") / union).alias("similarity")).filter(F.col("similarity") >= similarity)
+    places = d.select("doc_id", "row", F.size("words").alias("n_doc"), F.posexplode(_runs("words")).alias("p", "run"))
+    hits = places.join(F.broadcast(runs) if common.small(runs, broadcast_rows) else runs, "run")
+    # A set: rows alike in id and text count once.
+    each = hits.groupBy("doc_id", "row", "n_doc", "item_id", "item", "n").agg(F.collect_set(F.struct("run", "p", "most")).alias("hits"))
+    # No window shares more shingles than it holds, or than there are shared places.
+    size, of_item = F.least("n", "n_doc") - (SHINGLE - 1), F.col("n") - (SHINGLE - 1)
+    like = lambda shared: shared / (size + of_item - shared)
+    each = each.filter(like(F.least(F.size("hits"), size, of_item)) >= similarity).withColumn("size", size).withColumn("best", _once(_best_window()))
+    return each.select("doc_id", "row", "item_id", "best.start", like(F.col("best.shared")).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

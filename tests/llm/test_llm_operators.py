@@ -119,6 +119,17 @@ def test_decontamination_is_brute_force(spark):
         assert got == expected and len(got) > 10
 
 
+def test_decontamination_misses_no_borderline_window(spark):
+    """Near copies with a tenth of an item's words replaced at the end, all of similarity 0.8 and a little."""
+    rng = random.Random(4)
+    made = lambda n: [f"w{rng.getrandbits(32)}" for _ in range(n)]
+    items = [made(200) for _ in range(400)]
+    texts = [" ".join([*made(9), *w[:179], *made(30)]) for w in items]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.matches(table(spark, texts), bench).collect()}
+    assert got == {(i, i, 9, round(175 / 217, 6)) for i in range(400)}
+
+
 def test_a_leak_takes_no_other_row_of_its_id(spark):
     item = " ".join(WORDS)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
