@@ -130,6 +130,15 @@ def test_decontamination_misses_no_borderline_window(spark):
     assert got == {(i, i, 9, round(175 / 217, 6)) for i in range(400)}
 
 
+def test_an_item_of_any_length(spark):
+    """Longer than 65535 words, beside a short one."""
+    long, short = [f"w{i}" for i in range(66000)], WORDS
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([long, short])], "item_id long, text string")
+    texts = [" ".join(w) for w in (["x"] * 50 + long[:63000] + ["y"] * 4000, ["x", *short])]
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.matches(table(spark, texts), bench).collect()}
+    assert got == {(0, 0): (50, round(62996 / (2 * 65996 - 62996), 6)), (1, 1): (1, 1.0)}
+
+
 def test_a_leak_takes_no_other_row_of_its_id(spark):
     item = " ".join(WORDS)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
