@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintmill.llm import common
@@ -37,7 +37,12 @@ def shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT) -> DataFrame:
     """
     if byte_limit < 1:
         raise ValueError("byte_limit must be at least 1")
-    rows = common.pick(docs, "doc_id", "text").select("doc_id", _bits("doc_id", "text").alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return _placed(common.pick(docs, "doc_id", "text"), byte_limit, [])
+
+
+def _placed(docs: DataFrame, byte_limit: int, carried: list[str]) -> DataFrame:
+    """The columns of :func:`shards`, and those of ``carried``."""
+    rows = docs.select("doc_id", _bits("doc_id", "text").alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), *carried)
     done: list[DataFrame] = []
     low, pending = 0, rows
     while True:
@@ -45,7 +50,7 @@ def shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT) -> DataFrame:
         if total is None:
             break
         if low == BITS:
-            done.append(_pages(pending, byte_limit))
+            done.append(_pages(pending, byte_limit, carried))
             break
         high = min(BITS, low + min(MOST, SLACK + math.ceil(math.log2(max(1, total / byte_limit)))))
         cells = common.materialise(pending.groupBy(F.substring("bits", 1, high).alias("cell")).agg(F.sum("n_bytes").alias("b")), "cells")
@@ -55,38 +60,46 @@ def shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT) -> DataFrame:
         fits = prefixes.select("cell", "depth", "shard").join(sums, ["depth", "shard"]).groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("at"))
         fits = common.beside(common.materialise(fits.select("cell", "at.*"), "directory"))
         placed = pending.withColumn("cell", F.substring("bits", 1, high))
-        done.append(placed.join(fits, "cell").select("doc_id", "shard", "depth", "n_bytes", "shard_bytes"))
+        done.append(placed.join(fits, "cell").select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", *carried))
         over = cells.join(fits, "cell", "left_anti").select("cell")
         over = common.materialise(over, "oversized")
         if over.isEmpty():
             break
         pending = common.materialise(placed.join(common.beside(over), "cell", "left_semi").drop("cell"), "pending")
         low = high
-    out = done[0] if done else rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).alias("depth"), "n_bytes", F.lit(0).cast("long").alias("shard_bytes"))
+    out = done[0] if done else rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).alias("depth"), "n_bytes", F.lit(0).cast("long").alias("shard_bytes"), *carried)
     for more in done[1:]:
         out = out.union(more)
     return out
 
 
-def _pages(rows: DataFrame, byte_limit: int) -> DataFrame:
+def _pages(rows: DataFrame, byte_limit: int, carried: list[str]) -> DataFrame:
     """Rows alike in all their bits, counted and dealt over pages that hold as many of them as fit."""
     alike = rows.groupBy("doc_id", "bits", "n_bytes").agg(F.count("*").alias("n"))
     room = F.greatest(F.lit(1), F.floor(F.lit(byte_limit) / F.greatest("n_bytes", F.lit(1)))).cast("long")
     numbered = alike.withColumn("room", room).withColumn("page", F.explode(F.expr("sequence(0L, (n - 1) div room)")))
     held = numbered.withColumn("held", F.least(F.col("room"), F.col("n") - F.col("page") * F.col("room")))
-    each = held.withColumn("_", F.explode(F.expr("sequence(1L, held)")))
+    if carried:  # each row by itself: they may differ in these columns
+        w = Window.partitionBy("doc_id", "bits", "n_bytes").orderBy(F.lit(0))
+        numbered = rows.withColumn("room", room).withColumn("page", F.floor((F.row_number().over(w) - 1) / F.col("room")).cast("long"))
+        each = numbered.withColumn("held", F.count("*").over(Window.partitionBy("doc_id", "bits", "n_bytes", "page")))
+    else:
+        each = held.withColumn("_", F.explode(F.expr("sequence(1L, held)")))
     name = F.concat("bits", F.lit("+"), F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10), F.lit("."), F.col("page").cast("string"))
-    return each.select("doc_id", name.alias("shard"), F.lit(BITS).alias("depth"), "n_bytes", (F.col("held") * F.col("n_bytes")).alias("shard_bytes"))
+    return each.select("doc_id", name.alias("shard"), F.lit(BITS).alias("depth"), "n_bytes", (F.col("held") * F.col("n_bytes")).alias("shard_bytes"), *carried)
 
 
 def write_shards(docs: DataFrame, path: str, byte_limit: int = BYTE_LIMIT) -> DataFrame:
     """Writes ``docs`` as Parquet, a folder a shard, and returns the directory: shard, depth, rows, bytes.
 
-    Needs distinct, non-null doc_ids.
+    Every row is written once, with all its columns: null and repeated doc_ids as :func:`shards` places them.
     """
-    placed = shards(docs, byte_limit)
-    placed = common.materialise(placed, "placed")
-    docs.join(placed.select("doc_id", "shard"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    if byte_limit < 1:
+        raise ValueError("byte_limit must be at least 1")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (F.col(f"_c{common.place(docs.columns, n)}").alias(n) for n in ("doc_id", "text"))
+    placed = common.materialise(_placed(docs.toDF(*names).select("*", doc_id, text), byte_limit, names), "placed")
+    placed.select(*names, "shard").toDF(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard", "depth").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
 
 

@@ -219,6 +219,18 @@ def test_written_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 40
 
 
+def test_null_and_repeated_ids_are_written_once(spark, tmp_path):
+    texts, ids = ["x" * 100] * 25 + [f"{i:02}" * 20 for i in range(30)], [1] * 25 + [None] * 15 + [2] * 15
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, source string")
+    d = sharding.write_shards(docs, str(tmp_path / "s"), 1000)
+    back = spark.read.schema("doc_id long, text string, source string, shard string").parquet(str(tmp_path / "s")).collect()
+    assert sorted((r.source, r.text, r.doc_id or 0) for r in back) == sorted((r.source, r.text, r.doc_id or 0) for r in docs.collect())
+    sizes = {}
+    for r in back:
+        sizes[r.shard or ""] = sizes.get(r.shard or "", 0) + len(r.text)
+    assert sizes == {r.shard: r.bytes for r in d.collect()} and max(sizes.values()) <= 1000
+
+
 # ---- 4
 
 
