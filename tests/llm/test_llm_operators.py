@@ -245,14 +245,48 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     got = {}
     for r in topk.top_k(e, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    q = np.floor(256 * v.astype(float)).astype(np.int64)
+    q = np.floor(256 * np.vstack([v, v[:1]]).astype(float)).astype(np.int64)  # the last is the row without an id
     for i in range(0, 300, 50):
         s = q @ q[i]
-        order = sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:5]
-        assert got.pop(i) == [(j, s[j]) for j in order]
+        order = sorted((j for j in range(301) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert got.pop(i) == [(j if j < 300 else None, s[j]) for j in order]
     assert not got
 
 
+@pytest.mark.parametrize("wave", [1, 1 << 25])
+def test_top_k_of_clusters_is_brute_force(spark, monkeypatch, wave):
+    """Many blocks, of queries too, most of them out of reach; vectors of very different lengths; waves of few query blocks."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "WAVE_BYTES", wave * 4096)
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(12, 6)) * 20
+    v = (centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6))).astype(np.float32)
+    v[rng.integers(0, 900, 9)] *= 1000
+    e = spark.createDataFrame([(i, x.tolist(), i % 10 == 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, wanted boolean")
+    got = {}
+    for r in topk.top_k(e, F.col("wanted"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    q = np.floor(256 * v.astype(float)).astype(np.int64)
+    expected = {}
+    for i in range(0, 900, 10):
+        s = q @ q[i]
+        expected[i] = [(j, s[j]) for j in sorted((j for j in range(900) if j != i), key=lambda j: (-s[j], j))[:3]]
+    assert got == expected
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 2e15]), (2, [9e14, 9e14]), (3, [3e30, -1e30]), (4, [-3e30, 1e30]), (5, [-1e30, 0.0]), (6, [0.5, 9e14])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(e, F.col("vec_id").isin(0, 3), 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {i: [int(256 * x) if abs(256 * x) >= 2**53 else int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for i in (0, 3):
+        s = {j: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(whole[i], whole[j], strict=True)))) for j in whole if j != i}
+        assert got[i] == [(j, s[j]) for j in sorted(s, key=lambda j: (-s[j], j))]
+
+
 def test_top_k_of_few(spark):
     e = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in topk.top_k(e, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 256 * 512), (2, -256 * 256)]
