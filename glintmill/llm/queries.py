@@ -25,7 +25,7 @@ def op2_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(_table(spark, sf_dir, "documents"))
+    return sharding.shards(_table(spark, sf_dir, "documents"), sharding.QUERY_LIMIT)
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,26 @@ def test_shards_are_brute_force(spark):
         assert r.shard_bytes == sum(len(texts[i]) for i, k in keys.items() if k[:depth] == r.shard) <= 3000
 
 
+def test_the_query_splits(spark):
+    """On a table of some MB its directory is several bits deep, and not evenly."""
+    rows = queries()["op3_extendible_sharding"](spark, "/root/testdata/sf0.01").collect()
+    depths = Counter(r.depth for r in rows)
+    assert min(depths) > 3 and len(depths) > 1 and max(r.shard_bytes for r in rows) <= sharding.QUERY_LIMIT
+
+
+def test_oversized_rows_are_those_of_the_sql(spark, tmp_path):
+    """Rows over the limit, many alike, null ids: the SQL says where they go."""
+    import duckdb
+
+    big = "x" * (sharding.QUERY_LIMIT // 3)
+    rows = [(i, str(i) * 5000) for i in range(60)] + [(7, big)] * 8 + [(None, big + "y" * 2 * len(big))] * 2 + [(None, None)] * 3
+    table(spark, [t for _, t in rows], [i for i, _ in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(repr, (tuple(r) for r in sharding.shards(spark.read.parquet(str(tmp_path / "documents.parquet")), sharding.QUERY_LIMIT).collect())))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(map(repr, c.execute(sharding.ORACLE).fetchall())) and len(got) == len(rows)
+
+
 def test_repeated_and_oversized_rows_are_sharded(spark):
     texts = ["x" * 100] * 50 + ["y" * 5000] + [f"{i}" * 40 for i in range(50)]
     ids = [1] * 50 + [2] + [None] * 50
