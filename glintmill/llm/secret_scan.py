@@ -42,16 +42,33 @@ MOST = {k: math.floor(WINDOW * (math.log2(WINDOW) - b) * 1e6) for k, b in BITS.i
 REDACTED = "[SECRET]"
 
 
+#: Elements of an array, and characters of a text, that are taken at once, so that what grows step by step stays short.
+PART, BLOCK, BLOCKS = 128, 4096, 64
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _parts(array: str) -> str:
+    """An array cut into arrays of ``PART`` elements."""
+    return f"transform(sequence(0, greatest(size({array}) - 1, 0) div {PART}), k -> slice({array}, {PART} * k + 1, {PART}))"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``value``, computed once, under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _matches(name: str, text: str, pattern: str, group: int, least: int, kind: int) -> F.Column:
-    """Spans of the matches in column ``text`` whose group is long enough: struct(start, kind, end), in code points."""
-    # Gaps between matches come from split(), matches from regexp_extract_all(): both go left to right without overlap.
-    sql = f"""
-      CASE WHEN size(found) = 0 THEN array() ELSE
-        filter(zip_with(aggregate(
-            zip_with(slice(split({text}, pattern, -1), 1, size(found)), found, (g, m) -> named_struct('g', length(g), 'm', length(m))),
-            named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,kind:int,end:int>>)),
-            (a, x) -> named_struct('at', a.at + x.g + x.m, 'out', concat(a.out, array(named_struct('start', a.at + x.g, 'kind', {kind}, 'end', a.at + x.g + x.m)))),
-            a -> a.out), sized, (s, m) -> named_struct('span', s, 'n', length(m))), x -> x.n >= {least}).span END"""
+    """Spans of the matches in column ``text`` whose group is long enough: struct(start, kind, end), in code points.
+
+    Gaps between matches come from split(), matches from regexp_extract_all(): both go left to right without overlap. Their lengths
+    are summed part by part, and within each part, so the time is all but linear in the number of matches.
+    """
+    steps = f"zip_with(slice(split({text}, pattern, -1), 1, size(found)), found, (g, m) -> named_struct('g', length(g), 'm', length(m)))"
+    begins = "aggregate(parts, named_struct('at', 0, 'out', CAST(array() AS array<int>)), (a, c) -> named_struct('at', a.at + aggregate(c, 0, (t, x) -> t + x.g + x.m), 'out', concat(a.out, array(a.at))), a -> a.out)"
+    within = f"""aggregate(c, named_struct('at', base, 'out', CAST(array() AS {_SPANS})),
+        (a, x) -> named_struct('at', a.at + x.g + x.m, 'out', concat(a.out, array(named_struct('start', a.at + x.g, 'kind', {kind}, 'end', a.at + x.g + x.m)))), a -> a.out)"""
+    spans = _bound(steps, "steps", _bound(_parts("steps"), "parts", f"flatten(zip_with(parts, {begins}, (c, base) -> {within}))"))
+    sql = f"CASE WHEN size(found) = 0 THEN array() ELSE filter(zip_with({spans}, sized, (s, m) -> named_struct('span', s, 'n', length(m))), x -> x.n >= {least}).span END"
     literal = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     sized = f"regexp_extract_all({text}, {literal}, {group})" if group else f"{name}_found"
     return F.expr(sql.replace("found", f"{name}_found").replace("sized", sized).replace("pattern", literal))
@@ -92,12 +109,18 @@ def _with_spans(df: DataFrame) -> DataFrame:
     df = df.withColumn("base", F.array_sort(F.concat(*[f"{n}_spans" for n, *_ in BASE])))
     df = df.withColumn("added", _entropy("text"))
     # What base spans leave of an added span: base is sorted by start, so each cuts off what is before it and moves on to its end.
-    rest = """flatten(transform(added, e -> aggregate(filter(base, b -> b.start < e.end AND e.start < b.end),
-        named_struct('at', e.start, 'out', CAST(array() AS array<struct<start:int,kind:int,end:int>>)),
+    near = "flatten(transform(filter(blocks, b -> b.low < e.end AND e.start < b.high), b -> filter(b.part, x -> x.start < e.end AND e.start < x.end)))"
+    left = f"""aggregate({near}, named_struct('at', e.start, 'out', CAST(array() AS {_SPANS})),
         (a, b) -> named_struct('at', greatest(a.at, b.end), 'out', IF(b.start > a.at, concat(a.out, array(named_struct('start', a.at, 'kind', e.kind, 'end', b.start))), a.out)),
-        a -> IF(a.at < e.end, concat(a.out, array(named_struct('start', a.at, 'kind', e.kind, 'end', e.end))), a.out))))"""
+        a -> IF(a.at < e.end, concat(a.out, array(named_struct('start', a.at, 'kind', e.kind, 'end', e.end))), a.out))"""
     # A rest of separators alone holds nothing.
-    return df.withColumn("spans", F.expr(f"array_sort(concat(base, filter({rest}, x -> substring(text, x.start + 1, x.end - x.start) RLIKE '[A-Za-z0-9+]')))"))
+    rest = _bound(_span_blocks("base"), "blocks", f"filter(flatten(transform(added, e -> {left})), x -> x.end - x.start >= {WINDOW} OR substring(text, x.start + 1, x.end - x.start) RLIKE '[A-Za-z0-9+]')")
+    return df.withColumn("spans", F.expr(f"CASE WHEN size(added) = 0 THEN base ELSE array_sort(concat(base, {rest})) END"))
+
+
+def _span_blocks(spans: str) -> str:
+    """Sorted spans in parts, each with where it begins and ends: struct(low, high, part)."""
+    return f"transform(filter({_parts(spans)}, c -> size(c) > 0), c -> named_struct('low', c[0].start, 'high', array_max(c.end), 'part', c))"
 
 
 def _listed(spans: str) -> str:
@@ -125,11 +148,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at = common.place(names, "text")
     df = _with_spans(flat.withColumn("text", F.coalesce(F.col(f"_c{at}"), F.lit(""))))
-    clean = F.expr(f"""
-      CASE WHEN size(spans) = 0 THEN _c{at} ELSE aggregate(spans, named_struct('at', 0, 'out', CAST('' AS string)),
-        (a, x) -> named_struct('at', greatest(a.at, x.end), 'out',
-          IF(x.start < a.at, a.out, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{REDACTED}'))),
-        a -> concat(a.out, substring(text, a.at + 1, length(text)))) END""")
+    # Block by block of the text; a span that began before a block only covers.
+    near = "flatten(transform(filter(blocks, b -> b.low < t.at + length(t.s) AND t.at < b.high), b -> filter(b.part, x -> x.start < t.at + length(t.s) AND t.at < x.end)))"
+    block = f"""aggregate({near}, named_struct('at', t.at, 'out', CAST('' AS string)),
+          (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', IF(x.start < a.at, a.out, concat(a.out, substring(t.s, a.at - t.at + 1, x.start - a.at), '{REDACTED}'))),
+          a -> concat(a.out, substring(t.s, a.at - t.at + 1, length(t.s))))"""
+    large = BLOCK * BLOCKS
+    pieces = f"""flatten(transform(sequence(0, greatest(length(text) - 1, 0) div {large}), k -> {_bound(f"substring(text, {large} * k + 1, {large})", "w",
+        f"transform(sequence(0, greatest(length(w) - 1, 0) div {BLOCK}), j -> named_struct('at', {large} * k + {BLOCK} * j, 's', substring(w, {BLOCK} * j + 1, {BLOCK})))")}))"""
+    clean = F.expr(f"CASE WHEN size(spans) = 0 THEN _c{at} ELSE {_bound(_span_blocks('spans'), 'blocks', f"array_join(transform({pieces}, t -> {block}), '')")} END")
     out = df.withColumn("_clean", clean)
     picked = [F.col("_clean").alias(f"_c{i}") if i == at else F.col(f"_c{i}") for i in range(len(names))]
     for i, n in enumerate(names):
@@ -151,18 +178,28 @@ def _oracle() -> str:
             string_split_regex(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}')),
           {name} AS (SELECT rid, {i} AS kind, g[j] AS s, list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS st, length(m[j]) AS n
             FROM {name}_m, (SELECT unnest(range(1, 100000)) AS j) WHERE j <= len(m) AND length(g[j]) >= {least})""")
-    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in (*WHOLE, *IN_PIECE, "//"))
+    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in WHOLE)
+    hidden = " OR ".join(f"regexp_matches(p, '{p}')" for p in IN_PIECE)
     parts = "[" + ", ".join(f"{p}" for p in PARTS) + "]"
+    long = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
     {', '.join(ctes)},
     base AS (SELECT rid, kind, st::BIGINT AS st, (st + n)::BIGINT AS en FROM (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex)),
-    c AS (SELECT rid, st, s, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS kind FROM cand WHERE NOT ({allowed})),
+    run AS (SELECT rid, st, s, regexp_extract_all(s, '[A-Za-z0-9+]+') AS ps, string_split_regex(s, '[A-Za-z0-9+]+') AS gs FROM cand),
+    piece AS (SELECT rid, st, s, j, len(ps) AS n_ps, ps[j] AS p, ({long('gs[1:j]')} + {long('ps[1:j-1]')})::BIGINT AS po FROM run, (SELECT unnest(range(1, 100000)) AS j) WHERE j <= len(ps)),
+    kept AS (SELECT *, j - row_number() OVER (PARTITION BY rid, st ORDER BY j) AS island FROM piece WHERE NOT ({hidden})),
+    whole AS (SELECT rid, st, s, CASE WHEN min(j) = 1 AND NOT starts_with(s, '//') THEN 0 ELSE min(po) END AS a, CASE WHEN max(j) = any_value(n_ps) THEN length(s) ELSE max(po + length(p)) END AS z FROM kept GROUP BY rid, st, s, island),
+    c0 AS (SELECT rid, (st + a)::BIGINT AS st, s[a + 1:z] AS s FROM whole WHERE z - a >= {WINDOW}),
+    c AS (SELECT rid, st, s, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS kind FROM c0 WHERE NOT ({allowed})),
     w AS (SELECT rid, st, kind, i, s[i:i + {WINDOW - 1}] AS win FROM c, (SELECT unnest(range(1, 100000)) AS i) WHERE i + {WINDOW - 1} <= length(s)),
     e AS (SELECT rid, st, kind, i, list_sum(list_transform(list_distinct(string_split(win, '')), lambda x: {parts}[length(win) - length(replace(win, x, '')) + 1])) AS sm FROM w),
     f AS (SELECT rid, kind, (st + min(i) - 1)::BIGINT AS st, (st + max(i) + {WINDOW - 1})::BIGINT AS en FROM e
           WHERE sm <= CASE WHEN kind = 3 THEN {MOST['entropy_hex']} ELSE {MOST['entropy_base64']} END GROUP BY rid, st, kind),
-    added AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b.st < f.en AND f.st < b.en)),
+    over AS (SELECT f.rid, f.kind, f.st, f.en, list(b.st ORDER BY b.st, b.en) FILTER (b.st IS NOT NULL) AS bs, list(b.en ORDER BY b.st, b.en) FILTER (b.st IS NOT NULL) AS be
+      FROM f LEFT JOIN base b ON b.rid = f.rid AND b.st < f.en AND f.st < b.en GROUP BY ALL),
+    cut AS (SELECT rid, kind, greatest(st, coalesce(list_max(be[1:i]), st)) AS st, least(en, coalesce(bs[i + 1], en)) AS en FROM over, (SELECT unnest(range(0, 100000)) AS i) WHERE i <= coalesce(len(bs), 0)),
+    added AS (SELECT cut.* FROM cut JOIN d USING (rid) WHERE st < en AND regexp_matches(text[st + 1:en], '[A-Za-z0-9+]')),
     named AS (SELECT *, {list(KINDS)}[kind + 1] || ':' || st || ':' || en AS label, 0 AS extra FROM base
       UNION ALL SELECT rid, kind, st, en, {list(KINDS)}[kind + 1] || ':' || st || ':' || en, 1 FROM added),
     g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (extra = 1) AS n_entropy,
