@@ -12,6 +12,7 @@ import functools
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,20 +33,65 @@ RAW_TAGS = frozenset("script style noscript template title iframe noframes noemb
 CLOSES_P = BLOCK_TAGS - {"body", "html", "option", "optgroup", "button", "caption", "legend", "summary"}
 SAME_CLOSES = frozenset("li dt dd tr td th option p".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_SPECIAL = re.compile("[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 
 
 @dataclass
 class Block:
+    """``tags`` and ``names`` are those of all ancestors, each once; ``parent`` is the nearest one's tag."""
+
     text: str
     tags: tuple[str, ...]
+    parent: str
     names: tuple[str, ...]
     linked: int
 
 
+class Tags:
+    """Where the tags of a page end. A pass over its quotes and ``>`` from the end tells, for each, where a tag that comes to it outside
+    quotes is closed, so no tag without an end is looked at to the end of the page again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.closed, self.stop = page, True, -1
+        self.at = [m.start() for m in _SPECIAL.finditer(page)]
+        self.ends = [-1] * (len(self.at) + 1)
+        following: dict[str, int] = {}
+        for i in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[i]]
+            if c == ">":
+                self.ends[i] = self.at[i] + 1
+            else:
+                self.ends[i] = self.ends[following[c] + 1] if c in following else -1
+                following[c] = i
+
+    def read(self, p: int) -> tuple[int, str, bool, str] | None:
+        """The token that begins with the ``<`` at ``p``: its end, tag (empty for comments and the like), whether it closes, attributes."""
+        page = self.page
+        c = page[p + 1 : p + 2]
+        if c in ("!", "?"):
+            for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(begin, p):
+                    e = page.find(end, p + len(begin))
+                    return (len(page) if e < 0 else e + len(end)), "", False, ""
+            e = page.find(">", p + 2) if self.closed else -1
+            self.closed = e >= 0
+            return (e + 1, "", False, "") if self.closed else None
+        closes = c == "/"
+        name = p + 1 + closes
+        if not (page[name : name + 1].isascii() and page[name : name + 1].isalpha()):
+            return None
+        if self.stop < name:
+            m = _NAME_END.search(page, name)
+            self.stop = m.start() if m else len(page)
+        end = self.ends[bisect_left(self.at, self.stop)]
+        return (end, page[name : self.stop].lower(), closes, page[self.stop : end - 1]) if end >= 0 else None
+
+
 @functools.lru_cache(maxsize=4096)
 def _names(attributes: str) -> tuple[str, ...]:
     out = []
@@ -55,11 +101,18 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order: references decoded, white space runs made one space, ends trimmed."""
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The text blocks of a page in order: references decoded, white space runs made one space, ends trimmed.
+
+    With ``known`` only those names of classes, ids and roles are kept. Time is linear in the length of the page, whatever its markup.
+    """
     page = page or ""
+    tags = Tags(page)
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_tags: dict[str, int] = {}  # how often each is open
+    open_names: dict[str, int] = {}
+    without_end: set[str] = set()  # raw tags that are closed nowhere in what is left
     parts: list[str] = []
     linked = anchor = 0
 
@@ -68,60 +121,93 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                names = tuple(dict.fromkeys(n for _, own in stack for n in own))
-                out.append(Block(text, tuple(t for t, _ in stack), names, linked))
+                out.append(Block(text, tuple(open_tags), stack[-1][0] if stack else "", tuple(open_names), linked))
             parts.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        stack.append((tag, names))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        for n in names:
+            open_names[n] = open_names.get(n, 0) + 1
+
+    def pop() -> str:
+        tag, names = stack.pop()
+        for counts, keys in ((open_tags, (tag,)), (open_names, names)):
+            for x in keys:
+                counts[x] -= 1
+                if not counts[x]:
+                    del counts[x]
+        return tag
+
+    def skipped(tag: str, at: int) -> int:
+        """After the end of a raw tag's content, which is no text."""
+        if tag not in without_end:
+            m = _raw_end(tag).search(page, at)
+            end = page.find(">", m.end()) if m else -1
+            if end >= 0:
+                return end + 1
+            without_end.add(tag)
+        return len(page) if tag in ("script", "style", "title", "template") else at
+
+    at, look, end = 0, 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
+        p = page.find("<", look)
+        token = tags.read(p) if p >= 0 else None
+        if p >= 0 and token is None:
+            look = p + 1
+            continue
+        text = page[at : p if p >= 0 else end]
         if text:
             parts.append(text)
             if anchor and not text.isspace():
                 linked += len(text)
-        if not m:
+        if token is None:
             break
-        at = m.end()
-        if m[2] is None:
+        at, tag, closes, attributes = token
+        look = at
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag in RAW_TAGS:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\s*>|</{tag}\s[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (end if tag in ("script", "style", "title", "template") else at)
+            if not closes and not attributes.endswith("/"):
+                at = look = skipped(tag, at)
             continue
         if tag == "a":
-            anchor = max(0, anchor + (-1 if m[1] else 1))
+            anchor = max(0, anchor + (-1 if closes else 1))
         elif tag == "br":
             parts.append("\n")
         if tag not in BLOCK_TAGS:
             continue
         flush()
-        if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+        if closes:
+            if tag in open_tags:
+                while pop() != tag:
                     pass
             anchor = 0
         elif tag not in VOID_TAGS:
             if tag in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             if tag in SAME_CLOSES and stack and stack[-1][0] == tag:
-                stack.pop()
-            stack.append((tag, _names(m[3])))
+                pop()
+            names = _names(attributes)
+            push(tag, names if known is None else tuple(n for n in names if n in known))
     flush()
     return out
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s>])", re.I)
+
+
 def features(found: list[Block]) -> list[list[str]]:
     out = []
     n = len(found)
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         share = b.linked / max(1, len(b.text))
-        own = [f"has={t}" for t in dict.fromkeys(b.tags)] + [f"name={w}" for w in b.names]
-        own.append(f"tag={b.tags[-1] if b.tags else ''}")
+        own = [f"has={t}" for t in b.tags] + [f"name={w}" for w in b.names]
+        own.append(f"tag={b.parent}")
         own.append(f"words={min(6, words.bit_length())}")
         own.append(f"links={0 if not share else 1 if share < 0.4 else 2 if share < 0.9 else 3}")
         own.append(f"stops={min(3, sum(b.text.count(c) for c in '.!?,;'))}")
@@ -140,6 +226,11 @@ class Field:
     weights: dict[str, float]
     pairs: tuple[tuple[float, float], tuple[float, float]]
 
+    @functools.cached_property
+    def names(self) -> frozenset[str]:
+        """The names of classes, ids and roles that it has weights for."""
+        return frozenset(f.removeprefix("name=") for f in self.weights if f.startswith("name="))
+
     def decode(self, rows: list[list[str]]) -> list[int]:
         """Viterbi's best labels; 1 is content. At a tie content wins."""
         if not rows:
@@ -357,7 +448,7 @@ def field(pages: int = TRAINING_PAGES, seed: int = 11) -> Field:
 
 
 def main_text(page: str | None, model: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, model.names)
     return "\n".join([b.text for b, y in zip(found, model.decode(features(found)), strict=True) if y])
 
 
@@ -365,8 +456,8 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (main text blocks joined by newlines, empty if none), n_chars (code points).
 
     A null html is empty. Text without any markup is one block. A null page_id or url stays null; repeated rows each give a
-    row; further columns are ignored; an empty table gives no rows. Time is linear in the length of a page but for unclosed
-    markup.
+    row; further columns are ignored; an empty table gives no rows. Time is linear in the length of a page, unclosed markup
+    included.
     """
     common.python_batches(pages.sparkSession)
     model = model or field()

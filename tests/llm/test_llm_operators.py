@@ -324,6 +324,23 @@ def test_blocks():
     assert [b.text for b in html_text.blocks("just text")] == ["just text"]
 
 
+@pytest.mark.parametrize("piece", ['<a b="c" ', '<a "', "<a<", "<! ", "<svg>", "<script></script ", "</script ", "<div>x", '<div class="ad x1">y', "<!--", "<p", "&amp", "<a b='", "<"])
+def test_broken_markup_takes_linear_time(piece):
+    import time
+
+    model = html_text.field()
+    began = time.time()
+    text = html_text.main_text(piece * (2_000_000 // len(piece)), model)
+    assert time.time() - began < 20 and isinstance(text, str)
+
+
+def test_tags_end_outside_quotes():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts('<p title="a>b">x</p><p title=\'">\'>y<p z="open>w') == ["x", 'y<p z="open>w']
+    assert texts("<svg><p>a</svg>b<SCRIPT>c</scripts></script >d<style>e") == ["bd"]
+    assert texts("<svg>a") == ["a"] and texts("a <! b") == ["a <! b"] and texts("1 < 2 <3>") == ["1 < 2 <3>"]
+
+
 def test_field_on_unseen_pages():
     rng, good, all_ = random.Random(12345), 0, 0
     model = html_text.field()
