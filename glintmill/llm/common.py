@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,13 @@ _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, as in tests; a cluster must name one."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set: executors of a cluster need a folder that all of them share")
     app = context.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="glintmill-")
@@ -37,9 +40,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it again."""
+    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it again. What was written goes when the driver ends, if not before."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    delete_at_end(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glintmill_path = path
@@ -58,6 +62,19 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has ``path`` deleted when the driver's JVM ends in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at.getParent())
+    spark._jvm.org.apache.hadoop.fs.FileSystem.get(files.getUri(), spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def text_key(doc_id, text) -> F.Column:
+    """What tells rows apart by id and text: two hashes of 64 bits that chain the two in different orders."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(text, F.lit(1), doc_id).alias("b"))
+
+
 def place(columns: list[str], name: str) -> int:
     """Where ``name`` is: the exact name first, then the name in another case."""
     for test in (lambda c: c == name, lambda c: c.lower() == name.lower()):
@@ -89,7 +106,10 @@ def _ship(spark: SparkSession) -> None:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches, by rows and bytes, and gives the workers this package."""
+    """Bounds the Arrow batches, by rows and bytes, and gives the workers this package.
+
+    The bounds stay set for the session: plans are made when results are asked for, so they can't be set back here.
+    """
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -71,15 +71,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     return best.select("doc_id", "item_id", F.col("best.start").alias("start"), F.round(-F.col("best.s"), 6).alias("similarity"))
 
 
-def _row(doc_id, text) -> F.Column:
-    return F.xxhash64(doc_id, text)
-
-
 def _scored(docs: DataFrame, benchmark: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
-    """The best window of each row and item that match: doc_id, row (a hash of id and text), item_id, start, similarity."""
+    """The best window of each row and item that match: doc_id, row (hashes of id and text), item_id, start, similarity."""
     items = items_of(benchmark).select("item_id", "n", F.xxhash64("item_id", "words").alias("item"), F.explode(_runs("words")).alias("run"))
     runs = common.materialise(items.groupBy("run", "item_id", "item", "n").agg(F.count("*").cast("int").alias("most")), "runs")
-    d = common.pick(docs, "doc_id", "text").select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
+    d = common.pick(docs, "doc_id", "text").select("doc_id", common.text_key(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
     places = d.select("doc_id", "row", F.size("words").alias("n_doc"), F.posexplode(_runs("words")).alias("p", "run"))
     hits = places.join(F.broadcast(runs) if common.small(runs, broadcast_rows) else runs, "run")
     # A set: rows alike in id and text count once.
@@ -97,7 +93,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = common.materialise(found, "leaks")
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     doc_id, text = (F.col(f"_c{common.place(docs.columns, n)}") for n in ("doc_id", "text"))
-    return flat.join(common.beside(found), _row(doc_id, text) == F.col("_row"), "left_anti").toDF(*docs.columns)
+    return flat.join(common.beside(found), common.text_key(doc_id, text) == F.col("_row"), "left_anti").toDF(*docs.columns)
 
 
 ORACLE = rf"""

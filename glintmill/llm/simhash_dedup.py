@@ -26,7 +26,7 @@ from glintmill.llm.components import connected
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Entries of a posting list that one task compares at once; longer lists are split into pairs of blocks.
+#: Entries of a posting list that one task compares at once; longer lists are split.
 BLOCK = 2048
 
 
@@ -69,7 +69,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) per row; the unsigned fingerprint's bits as a signed long."""
-    docs = common.pick(docs, "doc_id", "text").withColumn("_row", F.lit(0).cast("long"))
+    docs = common.pick(docs, "doc_id", "text").withColumns({n: F.lit(0).cast("long") for n in "ab"})
     return _keyed_prints(docs, F.col("doc_id"), F.col("text")).select("doc_id", "fp")
 
 
@@ -147,20 +147,37 @@ def _links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between different fingerprints of ``prints`` (fp, distinct), enough to join all that are linked."""
+    """Links (u, v) between different fingerprints of ``prints`` (fp, distinct), enough to join all that are linked.
+
+    A list of over ``block`` entries is split by what its linked pairs must share beside the three bytes: a fourth byte, at one of the other
+    five positions; a list that is still too long, by one of five parts of the bits of the four bytes left, since at most four of
+    these bits differ; and one that is too long even then into pairs of blocks.
+    """
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = [F.lit(n << 24).bitwiseOR(F.shiftleft(byte(a), 16)).bitwiseOR(F.shiftleft(byte(b), 8)).bitwiseOR(byte(c)) for n, (a, b, c) in enumerate(TRIPLES)]
-    index = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    long = index.groupBy("key").count().filter(F.col("count") > block)
-    long = common.materialise(long.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "long-lists")
-    plain = index.select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "fp")
-    if not long.isEmpty():
-        # Entries of a long list are dealt over blocks; each pair of blocks, and each block by itself, is a part.
-        dealt = index.join(long, "key").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    index = prints.select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
+    others = ", ".join(f"array({', '.join(str(p) for p in range(8) if p not in t)})" for t in TRIPLES)
+    fourth = "transform(array({0})[CAST(shiftright(key, 24) AS int)], p -> key * 2048 + p * 256 + (shiftrightunsigned(fp, 8 * p) & 255L))".format(others)
+    rest = "aggregate(filter(array({0})[CAST(shiftright(key, 35) AS int)], p -> p <> (shiftright(key, 8) & 7)), 0L, (a, p) -> a * 256 + (shiftrightunsigned(fp, 8 * p) & 255L))".format(others)
+    parts = ", ".join(f"key * 640 + {128 * i} + (shiftrightunsigned({rest}, {shift}) & {(1 << bits) - 1}L)" for i, (shift, bits) in enumerate(((25, 7), (18, 7), (12, 6), (6, 6), (0, 6))))
+    plain = None
+    for level, split in enumerate((fourth, f"array({parts})", None)):
+        long = index.groupBy("key").count().filter(F.col("count") > block)
+        long = common.materialise(long.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "long-lists")
+        some = not long.isEmpty()
+        short = (index.join(long, "key", "left_anti") if some else index).select("key", F.lit(-level).alias("part"), F.lit(0).alias("side"), "fp")
+        plain = short if plain is None else plain.union(short)
+        if not some:
+            break
+        index = index.join(long, "key")
+        if split:
+            index = common.materialise(index.select("fp", F.explode(F.expr(split)).alias("key")), "split-lists")
+            continue
+        # Entries are dealt over blocks; each pair of blocks, and each block by itself, is a part.
+        dealt = index.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-        dealt = dealt.select("key", "fp", "b", "blocks", other).select(
-            "key", (F.least("b", "o") * F.col("blocks") + F.greatest("b", "o") + 1).alias("part"), (F.col("b") > F.col("o")).cast("int").alias("side"), "fp")
-        plain = plain.join(long, "key", "left_anti").union(dealt)
+        plain = plain.union(dealt.select("key", "fp", "b", "blocks", other).select(
+            "key", (F.least("b", "o") * F.col("blocks") + F.greatest("b", "o") + 1).alias("part"), (F.col("b") > F.col("o")).cast("int").alias("side"), "fp"))
     return plain.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_links, "u long, v long")
 
 
@@ -194,28 +211,29 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     doc_id, text = (F.col(f"_c{common.place(names, n)}") for n in ("doc_id", "text"))
-    flat = flat.withColumn("_row", F.xxhash64(doc_id, F.coalesce(text, F.lit(""))))
+    flat = flat.select("*", common.text_key(doc_id, F.coalesce(text, F.lit(""))).alias("_row")).select("*", "_row.a", "_row.b").drop("_row")
     rows = common.materialise(_keyed_prints(flat, doc_id, text), "prints")
     named = _components(rows)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("row").alias("row")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b"))
     by_print = rows.groupBy("fp").agg(best.alias("best"))
     by_root = by_print.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    keep = common.materialise(by_root.select(F.col("best.row").alias("_row")), "kept")
-    times = common.materialise(rows.join(keep, rows["row"] == keep["_row"], "left_semi").groupBy("row").count().filter("count > 1").select(F.col("row").alias("_row")), "repeated")
-    kept = flat.join(keep, "_row", "left_semi")
+    keep = common.materialise(by_root.select("best.a", "best.b"), "kept")
+    times = rows.join(keep, ["a", "b"], "left_semi").groupBy("a", "b").count().filter("count > 1").select("a", "b")
+    times = common.materialise(times, "repeated")
+    kept = flat.join(keep, ["a", "b"], "left_semi")
     if not times.isEmpty():
         times = common.beside(times)
-        kept = kept.join(times, "_row", "left_anti").unionByName(kept.join(times, "_row", "left_semi").dropDuplicates(["_row"]))
-    return kept.drop("_row").toDF(*names)
+        kept = kept.join(times, ["a", "b"], "left_anti").unionByName(kept.join(times, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]))
+    return kept.drop("a", "b").toDF(*names)
 
 
 def _keyed_prints(flat: DataFrame, doc_id, text) -> DataFrame:
-    """(doc_id, row, fp): row is a hash of the id and the text."""
+    """(doc_id, a, b, fp): a and b are the row's key, hashes of the id and the text."""
     common.python_batches(flat.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64), pa.int64())], names=["doc_id", "row", "fp"])
+            prints = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints.view(np.int64), pa.int64())], names=["doc_id", "a", "b", "fp"])
 
-    return flat.select(doc_id.alias("doc_id"), F.col("_row").alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
+    return flat.select(doc_id.alias("doc_id"), "a", "b", text.alias("text")).mapInArrow(run, "doc_id long, a long, b long, fp long")

@@ -43,7 +43,7 @@ class WordCounter:
             self.pairs.setdefault(key, rank << _SHIFT | self.vocab[left + right])
         self.first = {b: self.vocab.get(c) for b, c in enumerate(self.letters)}
         self.last = {b: self.vocab.get(c + self.suffix) for b, c in enumerate(self.letters)}
-        special = [t["content"] for t in spec["added_tokens"]]
+        special = self.strings = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         # The pattern of the file's Split step.
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -111,7 +111,7 @@ class WordCounter:
     def count(self, text: str) -> int:
         total = 0
         parts = [text]
-        if self.special and "<|" in text:
+        if self.special and any(s in text for s in self.strings):
             parts = self.special.split(text)
             total = len(parts) - 1
         seen = self.seen
