@@ -2,7 +2,8 @@
 
 An ARC record is a header line, whose fields depend on the archive's version, and as many bytes as the line declares. WARC asks
 for more than it holds: record ids, ISO timestamps, record types and digests are made from what is there, so that the same
-record gets the same ones again. Archives are written by Spark's writer, gzip-compressed, to any store that Spark can write.
+record gets the same ones again. Archives of both kinds are written by Spark's writer, gzip-compressed, to any store that Spark can write,
+and read back as streams. An archive is one row of the writer, so its size is bounded by bytes, whatever the sizes of its records.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 NAMESPACE = uuid.UUID("6f1a8c52-3d0b-5e0e-9c0a-2f4f4f6d7a11")
-#: Payload bytes of an archive, about.
-ARCHIVE_BYTES = 96 << 20
+#: An archive ends with the record that reaches so many bytes.
+ARCHIVE_BYTES = 24 << 20
+#: A batch of records ends with the one that reaches so many bytes.
+BATCH_BYTES = 4 << 20
 EPOCH = datetime(2000, 1, 1, tzinfo=UTC)
 
 
@@ -80,27 +83,59 @@ def write_arc(records: Iterable[tuple[str, str, str, str, bytes]], version: str,
     return bytes(out)
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an archive, without its version block. Lengths are trusted only as far as there are bytes."""
-    at, names = 0, None
+class _Stream:
+    """Bytes that come in chunks, taken by length or up to a mark."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.held, self.chunks, self.at = bytearray(), iter(chunks), 0
+
+    def fill(self, n: int) -> bool:
+        while len(self.held) < n:
+            more = next(self.chunks, None)
+            if more is None:
+                return False
+            self.held.extend(more)
+        return True
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What comes before the next ``mark``, which is taken too; None if there is no mark any more."""
+        seen = 0
+        while (end := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self.fill(len(self.held) + 1):
+                return None
+        return self.take(end + len(mark))[: -len(mark)]
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, or as many as there are."""
+        self.fill(n)
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += len(out)
+        return out
+
+
+def read_arc(data: bytes | Iterable[bytes]) -> Iterator[ArcRecord]:
+    """The records of an archive, in one piece or in chunks, without its version block. Lengths are trusted only as far as there are bytes."""
+    source, names = _Stream([data] if isinstance(data, bytes) else data), None
     while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
+        while source.fill(1) and source.held[:1] in (b"\n", b"\r"):
+            source.take(1)
+        if not source.fill(1):
             return
-        end = data.find(b"\n", at)
-        if end < 0:
+        at = source.at
+        raw = source.upto(b"\n")
+        if raw is None:
             raise ArchiveError(f"a header line without an end at byte {at}")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        line = raw.decode("utf-8", "replace").rstrip("\r")
         values = line.split(" ")
         expected = len(names) if names else len(values)
-        if len(values) != expected or not values[-1].isdigit():
+        if len(values) != expected or not (values[-1].isascii() and values[-1].isdigit()):
             raise ArchiveError(f"a header line of {len(values)} fields at byte {at}: {line[:100]!r}")
         length = int(values[-1])
-        content = data[end + 1 : end + 1 + length]
+        content = source.take(length)
         if len(content) != length:
             raise ArchiveError(f"{len(content)} bytes of the {length} declared at byte {at}")
-        at = end + 1 + length
         if names is None:
             version = content.decode("utf-8", "replace").split(" ", 1)[0]
             if not line.startswith("filedesc://") or version not in ARC_FIELDS:
@@ -131,33 +166,22 @@ def to_warc(record: ArcRecord, revisits: str | None = None, refers_to: int | Non
 
 def read_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower case) and block of each record, by declared lengths."""
-    held, chunks = bytearray(), iter(chunks)
-
-    def fill(n: int) -> bool:
-        while len(held) < n:
-            more = next(chunks, None)
-            if more is None:
-                return False
-            held.extend(more)
-        return True
-
+    source = _Stream(chunks)
     while True:
-        at = 0
-        while (end := held.find(b"\r\n\r\n", at)) < 0:
-            at = max(0, len(held) - 3)
-            if not fill(len(held) + 1):
-                if held.strip():
-                    raise ArchiveError("a record header without an end")
-                return
-        lines = held[:end].decode("utf-8", "replace").split("\r\n")
+        head = source.upto(b"\r\n\r\n")
+        if head is None:
+            if source.held.strip():
+                raise ArchiveError("a record header without an end")
+            return
+        lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ArchiveError(f"no record where one is due: {lines[0][:60]!r}")
         fields = dict(_field(line) for line in lines[1:])
-        stop = end + 4 + int(fields["content-length"])
-        if not fill(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
+        length = int(fields["content-length"])
+        block = source.take(length)
+        if len(block) != length or source.take(4) != b"\r\n\r\n":
             raise ArchiveError("a record whose length isn't the one declared")
-        yield fields, bytes(held[end + 4 : stop])
-        del held[: stop + 4]
+        yield fields, block
 
 
 def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -174,49 +198,122 @@ def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
                 one = zlib.decompressobj(31)
 
 
-def _arc_of(page_id: int | None, url: str | None, page: str | None) -> bytes:
-    """The ARC archive, of version 1 or 2 by turns, in which a page would have come."""
-    n = page_id or 0
+def _crawled(page_id: int | None, url: str | None, page: str | None) -> tuple[str, str, str, str, bytes]:
+    """The ARC record as which a page would have come."""
     body = (page or "").encode()
     content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n".encode() + body
     url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or f"urn:glintmill:page:{page_id}"
-    date = (EPOCH + timedelta(seconds=n % (20 * 365 * 86400))).strftime("%Y%m%d%H%M%S")
-    return write_arc([(url, "0.0.0.0", date, "text/html", content)], "1" if n % 2 == 0 else "2")
+    date = (EPOCH + timedelta(seconds=(page_id or 0) % (20 * 365 * 86400))).strftime("%Y%m%d%H%M%S")
+    return url, "0.0.0.0", date, "text/html", content
+
+
+def _written(archives: DataFrame, label: str, end: str) -> str:
+    """Writes each row's ``value``, an archive but for its last line end, as a file; returns the folder."""
+    path = common.shared_path(archives.sparkSession, label)
+    common.delete_at_end(archives.sparkSession, path)
+    # The text writer puts bytes out as they are.
+    archives.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _values(archives: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    for data in archives:
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
+
+
+def write_arc_files(pages: DataFrame) -> str:
+    """Stores ``pages`` as ARC archives, of versions 1 and 2 by turns, in the shared folder; returns their path."""
+    common.python_batches(pages.sparkSession)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def archives() -> Iterator[bytes]:
+            held, size, turn = [], 0, 0
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    turn = turn or 1 + (row[0] or 0) % 2
+                    held.append(_crawled(*row))
+                    size += len(held[-1][4])
+                    if size >= ARCHIVE_BYTES:
+                        yield write_arc(held, str(turn))[:-1]
+                        held, size, turn = [], 0, 3 - turn
+            if held:
+                yield write_arc(held, str(turn))[:-1]
 
+        yield from _values(archives())
 
-def write_archives(pages: DataFrame, least: int = 0) -> str:
-    """Converts ``pages``, through ARC, to WARC archives in the shared folder; returns their path.
+    return _written(common.pick(pages, "page_id", "url", "html").mapInArrow(store, "value binary"), "arc", "\n")
+
+
+ARC_SCHEMA = "page_id long, url string, ip string, date string, type string, content binary, digest string, n long"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """(content) of the files of a folder, or those that a pattern names."""
+    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content")
+
+
+def read_arc_files(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
+    """The records of stored ARC archives of either version, plain or gzip (of one or many members): page_id (from an X-Page-Id header, else null),
+    url, ip, date, type, content (null without ``contents``), digest and length of the payload. A damaged archive raises ArchiveError."""
+    common.python_batches(spark)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            names = [f.split()[0] for f in ARC_SCHEMA.split(", ")]
+            types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in ARC_SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            for data in batch.column(0):
+                rows, size = [], 0
+                for r in read_arc(unzipped(data.as_py())):
+                    http, _, payload = r.http
+                    f, said = r.fields, http.get("x-page-id", "")
+                    rows.append((int(said) if said else None, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], r.content if contents else None, digest(payload), len(payload)))
+                    size += len(r.content)
+                    if size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return _stored(spark, path).mapInArrow(parse, ARC_SCHEMA)
+
+
+def convert_archives(spark: SparkSession, arc_path: str, least: int = 0) -> str:
+    """Converts stored ARC archives to WARC archives in the shared folder; returns their path.
 
     Of records with equal payloads of at least ``least`` bytes the one of the largest page_id is a response and the others
     revisit it.
     """
-    spark = pages.sparkSession
     common.python_batches(spark)
-    p = common.pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
-    seen = p.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").cast("long").alias("n"))
-    seen = common.materialise(seen, "digests")
-    by = seen.filter(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1 AND first IS NOT NULL")
-    again = seen.join(by, "sha").filter("page_id IS NULL OR page_id < first").select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), F.col("first").alias("refers_to")).distinct()
+    seen = common.materialise(read_arc_files(spark, arc_path, contents=False).select("page_id", "digest", "n"), "digests")
+    by = seen.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1 AND first IS NOT NULL")
+    again = seen.join(by, "digest").filter("page_id IS NULL OR page_id < first").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")).distinct()
     again = common.beside(common.materialise(again, "revisits"))
-    count, total = seen.agg(F.count("*"), F.sum("n")).first()
-    each = max(1, int(ARCHIVE_BYTES / max(1, (total or 0) / max(1, count))))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page_id, url, page, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for record in read_arc(_arc_of(page_id, url, page)):
+        def archives() -> Iterator[bytes]:
+            held, size = [], 0
+            for batch in batches:
+                for url, ip, date, kind, content, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    record = ArcRecord({"URL": url, "IP-address": ip, "Archive-date": date, "Content-type": kind}, content)
                     revisits = None if refers_to is None else record_id(refers_to, digest(record.http[2]))
                     head, block = to_warc(record, revisits, refers_to)
-                    out.append(head + block.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    both = p.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    both = both.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("sha") == F.col("again_sha")), "left").select("page_id", "url", "html", "refers_to")
-    path = common.shared_path(spark, "warc")
+                    held += [head.encode(), block, END.encode()]
+                    size += len(block)
+                    if size >= ARCHIVE_BYTES:
+                        yield b"".join(held[:-1])
+                        held, size = [], 0
+            if held:
+                yield b"".join(held[:-1])
+
+        yield from _values(archives())
+
+    rows = read_arc_files(spark, arc_path)
+    both = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("url", "ip", "date", "type", "content", "refers_to")
     # The line end is the end of a WARC record, so the files are WARC files.
-    both.mapInArrow(convert, "value string").write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", each).text(path)
-    return path
+    return _written(both.mapInArrow(convert, "value binary"), "warc", END)
 
 
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -246,19 +343,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(parse, RECORD_SCHEMA)
+    return _stored(spark, path).mapInArrow(parse, RECORD_SCHEMA)
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes a WARC record for each row of ``pages`` and reads the archives back: page_id, payload_bytes, payload_digest,
-    record_type (response or revisit), refers_to.
+    """Stores ``pages`` as ARC archives, converts these to WARC archives, a record for each row, and reads the archives back: page_id,
+    payload_bytes, payload_digest, record_type (response or revisit), refers_to.
 
     A null html is an empty payload; a null or blank url gets a URN, white space in one is percent-encoded. Rows that repeat the
     largest page_id of a payload are all responses; a null page_id stays null and revisits wherever an id has its payload, else
     is a response. Further columns are ignored; an empty table gives no rows.
     """
-    return read_archives(pages.sparkSession, write_archives(pages, least))
+    spark = pages.sparkSession
+    return read_archives(spark, convert_archives(spark, write_arc_files(pages), least))
 
 
 ORACLE = """

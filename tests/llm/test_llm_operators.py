@@ -175,6 +175,39 @@ def test_broken_arcs_raise():
             list(warc.read_arc(bad))
 
 
+def test_stored_arc_files_are_converted(spark, tmp_path):
+    """Plain, gzip in one member, gzip with a member a record; payloads that aren't UTF-8; resources; both versions."""
+    import gzip
+
+    blob = bytes(range(256)) * 9
+    page = lambda i, body: b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(body)) + body
+    made = lambda rows, version: warc.write_arc([(f"http://h/{n}", "1.2.3.4", "20010203040506", "text/html", c) for n, c in rows], version)
+    first = made([("a", page(1, blob)), ("b", page(2, b"x\r\n\r\ny"))], "1")
+    cut = first.index(b"http://h/b")
+    (tmp_path / "arcs").mkdir()
+    (tmp_path / "arcs/one.arc.gz").write_bytes(gzip.compress(first[:cut]) + gzip.compress(first[cut:]))
+    (tmp_path / "arcs/two.arc").write_bytes(made([("c", page(3, blob)), ("d", page(4, b""))], "2"))
+    (tmp_path / "arcs/three.arc.gz").write_bytes(gzip.compress(made([("e", page(5, blob))], "2")))
+    path = warc.convert_archives(spark, str(tmp_path / "arcs"))
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect())
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(1, 2304, "revisit", 5), (2, 6, "response", None), (3, 2304, "revisit", 5), (4, 0, "response", None), (5, 2304, "response", None)]
+    assert [g[2] for g in got] == [warc.digest(x) for x in (blob, b"x\r\n\r\ny", blob, b"", blob)]
+    (tmp_path / "arcs/bad.arc").write_bytes(first[:-40])
+    with pytest.raises(Exception, match="declared"):
+        warc.read_arc_files(spark, str(tmp_path / "arcs")).collect()
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(i, "u", "x" * (30_000 if i % 50 == 0 else 100)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    arcs = warc.write_arc_files(pages)
+    sizes = [len(b"".join(warc.unzipped(bytes(r.content)))) for r in warc._stored(spark, arcs).collect()]
+    assert len(sizes) > 5 and max(sizes) < 110_000  # headers, of each record some hundred bytes, come on top
+    assert warc.read_arc_files(spark, arcs).count() == 400
+    assert warc.records(pages).count() == 400
+
+
 def test_warc_of_odd_pages(spark):
     rows = [(1, "u", "same"), (2, "u v", "same"), (3, None, ""), (4, "", None), (5, "u", "a\r\n\r\nWARC/1.1\r\nb"), (None, "u", "same"), (6, "ü\n", "é" * 9000), (6, "x", "é" * 9000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha string")
