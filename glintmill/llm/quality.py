@@ -1,8 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and a calibrated difference of sizes.
 
-A text is compressed with a dictionary built from good labelled texts and with one from bad ones. Both sizes, taken
-piece by piece and normalised by their sum, and the share of pieces that the bad dictionary suits better, say which
-sort of text it is like. Logistic regression on labelled texts that built no dictionary makes a probability of it.
+A text is compressed with a dictionary built from good labelled texts and with one from bad ones. The difference of both sizes,
+normalised by their sum, says which sort of text it is like: of the whole text, of its worst piece, and as the share of pieces that the
+bad dictionary suits better. A text that repeats itself suits both dictionaries alike, so how far it compresses without one
+comes on top. Logistic regression on labelled texts that built no dictionary makes a probability of these four.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from glintmill.llm import common
 
 #: At most so many labelled rows of each label are fetched to the driver, those with the smallest hash of the doc_id.
 SAMPLE_ROWS = 1500
+#: Of these, in the order of their hash, so many bytes of each label: whole texts, and what doesn't fit any more is left out.
+SAMPLE_BYTES = 12 << 20
 #: Bytes of each dictionary.
 DICTIONARY_BYTES = 48 * 1024
 LEVEL = 3
@@ -51,18 +54,16 @@ def _compressors(good: bytes, bad: bytes):
 
 
 def features(text: str, good: bytes, bad: bytes) -> list[float]:
-    """From compressed sizes only: normalised differences, the worst piece, and how far the text compresses by itself."""
+    """From compressed sizes only: normalised difference, that of the worst piece, share of pieces with a negative one, and the log of how far the text compresses by itself."""
     by_good, by_bad, plain = _compressors(good, bad)
     raw = text.encode()
     pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
     if len(pieces) > 1 and len(pieces[-1]) < PIECE // 2:
         pieces[-2:] = [pieces[-2] + pieces[-1]]
-    sizes = np.array([(len(by_good(p)), len(by_bad(p)), len(p)) for p in pieces], float)
+    sizes = np.array([(len(by_good(p)), len(by_bad(p))) for p in pieces], float)
     parts = (sizes[:, 1] - sizes[:, 0]) / (sizes[:, 1] + sizes[:, 0])
-    g, b, n = sizes.sum(axis=0)
-    itself = len(plain(raw)) / n
-    ratios = sizes[:, 0] / sizes[:, 2]
-    return [float((b - g) / (b + g)), float(parts.min()), float((parts < 0).mean()), math.log(itself), math.log(float(ratios.min())), math.log(g / n)]
+    g, b = sizes.sum(axis=0)
+    return [float((b - g) / (b + g)), float(parts.min()), float((parts < 0).mean()), math.log(len(plain(raw)) / len(raw))]
 
 
 def score(text: str | None, model: Model) -> float:
@@ -91,7 +92,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     good, bad = (dictionary(by[y][::2]) for y in (1, 0))
     held = [(t, y) for y in (0, 1) for t in by[y][1::2]]
     if len({y for _, y in held}) < 2:
-        return Model(good, bad, (0.0,) * 6, (1.0,) * 6, (0.0,) * 6, 1.0)
+        return Model(good, bad, (0.0,) * 4, (1.0,) * 4, (0.0,) * 4, 1.0)
     x = np.array([features(t, good, bad) for t, _ in held])
     y = np.array([v for _, v in held], float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -113,7 +114,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled rows that aren't held out; a bounded sample of them, the same for the same tables."""
     d = common.pick(docs, "doc_id", "text").filter("text is not null")
     y = common.pick(labels, "doc_id", "quality").filter("quality in (0, 1)").filter(~held_out(F.col("doc_id")))
@@ -122,8 +123,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         part = y.filter(F.col("quality") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
     rows = d.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_rows rows
-    rows = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "text").limit(2 * sample_rows).collect()
-    return fit([(r.text, r.quality) for r in rows])
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), "text", F.col("quality").cast("int").alias("quality"), F.octet_length("text").alias("n"))
+    # A document's id may be repeated: again the smallest hashes, then as many bytes as are allowed.
+    rows = common.materialise(rows.orderBy("h", "text").limit(2 * sample_rows).select("*", F.xxhash64("text").alias("t")), "labelled")
+    left, taken = {0: sample_bytes, 1: sample_bytes}, []
+    for r in rows.select("h", "t", "quality", "n").orderBy("h", "t").collect():
+        if r.n <= left[r.quality]:
+            left[r.quality] -= r.n
+            taken.append((r.h, r.t, r.quality))
+    if len(taken) < rows.count():
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, "h long, t long, quality int").distinct()), ["h", "t", "quality"], "left_semi")
+    return fit([(r.text, r.quality) for r in rows.orderBy("h", "text").collect()])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

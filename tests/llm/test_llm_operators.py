@@ -513,6 +513,57 @@ def test_quality_of_held_out_rows(spark, tmp_path):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_scores_are_brute_force(spark):
+    """Dictionaries and regression from the rows that may teach, each score from sizes that are compressed one by one."""
+    import zstandard as z
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    said = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 5}
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "text").collect() if r.doc_id in said]
+    model = quality.fit([(text[i], said[i]) for i in order])
+    with_words = [i for i in order if text[i].strip()]
+    sorts = {y: [text[i] for i in with_words if said[i] == y] for y in (0, 1)}
+    for y, made in ((1, model.good), (0, model.bad)):
+        pieces = [t.encode()[k : k + 1000] for t in sorts[y][::2] for k in range(0, len(t.encode()), 1000)]
+        try:
+            assert made == z.train_dictionary(48 * 1024, pieces).as_bytes()
+        except z.ZstdError:
+            assert made == b"".join(pieces)[-48 * 1024 :]
+
+    def size(data, dictionary=None):
+        more = {"dict_data": z.ZstdCompressionDict(dictionary)} if dictionary else {}
+        return len(z.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, **({"write_dict_id": False} if dictionary else {}), **more).compress(data))
+
+    for r in quality.classify(docs, labels).collect():
+        raw = text[r.doc_id].encode()
+        if not text[r.doc_id].strip():
+            assert r.score == 0
+            continue
+        cuts = list(range(0, len(raw), 1000))
+        if len(cuts) > 1 and len(raw) - cuts[-1] < 500:
+            cuts.pop()
+        pieces = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        pairs = [(size(p, model.good), size(p, model.bad)) for p in pieces]
+        each = [(b - g) / (b + g) for g, b in pairs]
+        g, b = sum(x for x, _ in pairs), sum(y for _, y in pairs)
+        found = [(b - g) / (b + g), min(each), sum(x < 0 for x in each) / len(each), np.log(size(raw) / len(raw))]
+        total = model.bias + sum(w * max(-8, min(8, (x - m) / s)) for w, x, m, s in zip(model.weights, found, model.mean, model.scale, strict=True))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, total)))), abs=1e-9) and r.predicted == int(r.score >= 0.3)
+
+
+def test_the_sample_of_labelled_rows_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(rows))
+    docs = table(spark, ["good " * 100, "bad " * 100, "x" * 10_000, "good " * 90, "bad " * 90], [1, 2, 3, 6, 7])
+    labels = spark.createDataFrame([(i, q) for i, q in ((1, 1), (2, 0), (3, 1), (6, 1), (7, 0))], "doc_id long, quality int")
+    quality.learn(docs, labels, sample_bytes=1000)
+    assert 0 < len(seen[0]) < 5 and all(sum(len(t) for t, y in seen[0] if y == v) <= 1000 for v in (0, 1))
+    quality.learn(docs, labels)
+    assert len(seen[1]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3, 6, 7))
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (6, None, 0), (7, 5, 0)], "doc_id long, quality int, toxic int")
     rows = quality.classify(odd, labels).collect()
