@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glintmill.functions.text import stripped
+
 # Fixed lists: components and layout tags that are dropped, their content kept.
 PRESENTATIONAL = ("Note", "Tip", "Warning", "Info", "Check", "Danger", "CodeGroup", "CardGroup", "Frame", "Columns", "Expandable")
 HTML_LAYOUT = ("div", "span", "br", "p", "img", "a")
@@ -17,6 +19,7 @@ LOOSE_STEPS = [(r'<Step\s+title="([^"]*)"[^>]*>', "\n$1\n"), (r"</?Steps?(?:\s[^
 ACCORDIONS = [(r'<Accordion\s+title="([^"]*)"[^>]*>', "\n$1\n"), (r"</?Accordion(?:Group)?(?:\s[^>]*)?>", "")]
 CARDS = [(r'<Card\s+[^>]*?title="([^"]*)"[^>]*>', "\n$1\n"), (r"</?Card(?:Group)?(?:\s[^>]*)?>", "")]
 WRAPPERS = [(rf"</?(?:{'|'.join(PRESENTATIONAL)})(?:\s[^>]*)?>", ""), (rf"(?i)</?(?:{'|'.join(HTML_LAYOUT)})(?:\s[^>]*)?>", "")]
+# Fixed patterns: a block of steps, and the tag of one.
 STEPS = r"(?s)<Steps(?:\s[^>]*)?>.*?</Steps>"
 STEP = r"<Step(?:\s[^>]*)?>"
 
@@ -66,11 +69,11 @@ def fences(text: Column) -> Column:
 
 
 def cells(line: Column) -> Column:
-    """Cells of a table row. Escaped pipes and pipes in code spans are content; padding and backticks go."""
-    masked = F.replace(F.trim(F.regexp_replace(line, r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$", "")), F.lit("\\|"), F.lit("\u0001"))
+    """Cells of a table row. Escaped pipes and pipes in code spans are content. Padding goes, runs of spaces become one, and then backticks go."""
+    masked = F.replace(stripped(line), F.lit("\\|"), F.lit("\u0001"))
     inner = F.regexp_replace(masked, r"^\||\|$", "")
     spans = F.transform(F.split(inner, "`", -1), lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit("|"), F.lit("\u0001"))).otherwise(s))
-    clean = lambda c: F.trim(F.regexp_replace(F.trim(F.replace(F.replace(c, F.lit("\u0001"), F.lit("|")), F.lit("`"), F.lit(""))), " {2,}", " "))
+    clean = lambda c: stripped(F.replace(F.regexp_replace(stripped(F.replace(c, F.lit("\u0001"), F.lit("|"))), " {2,}", " "), F.lit("`"), F.lit("")))
     return F.transform(F.split(F.array_join(spans, "`"), r"\|", -1), clean)
 
 

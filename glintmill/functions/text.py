@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, spelled out so that all engines agree.
 SPACE = r"[ \t\n\r\f\x0b]"
+#: White space of any script, at the ends of what is trimmed.
+ANY_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: The default token: a run of ASCII letters and digits, or one other character that isn't space.
 TOKEN = r"[A-Za-z0-9]+|[^ \t\n\r\f\x0bA-Za-z0-9]"
 #: Every so many tokens one is kept in a degraded question.
@@ -36,8 +38,19 @@ def bucket(term: Column, n: int) -> Column:
     return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{ANY_SPACE}+|{ANY_SPACE}+$", "")
+
+
+def runs(text: Column) -> Column:
+    """Runs of ASCII letters and digits, in lower case, of any length; repeats and order kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def title(text: Column) -> Column:
-    return F.coalesce(F.get(F.filter(F.split(text, "\n"), lambda line: line.startswith("# ")), F.lit(0)), F.lit("(untitled)"))
+    """What follows the ``# `` of the first top heading, trimmed."""
+    heading = F.get(F.filter(F.split(text, "\r\n|\r|\n", -1), lambda line: line.startswith("# ")), F.lit(0))
+    return F.coalesce(stripped(F.substr(heading, F.lit(3))), F.lit("(untitled)"))
 
 
 def snippet(text: Column, needle: str) -> Column:

@@ -15,96 +15,133 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintmill.functions import markup as M
+from glintmill.functions import plain as P
 from glintmill.functions import text as T
 from glintmill.operators.ordered import order_statistics, running_total
 
 BUDGET = 254
 CUT = 2 * BUDGET
 _TOKENS = re.compile(T.TOKEN)
-CHUNK_SCHEMA = "doc_id long, idx int, chunk_id string, char_start int, char_end int, n_tokens int, block_type string, text string"
-UNIT_SCHEMA = "doc_id long, pos int, start int, end int, kind string, n_tokens int"
+_GAP = re.compile(r"\n\s*\n")
+_FENCE_MARK = re.compile(r"^```", re.M)
+CHUNK_SCHEMA = "doc_id long, idx int, chunk_id string, char_start int, char_end int, n_tokens int, block_type string, text string, text_embed string"
+UNIT_SCHEMA = "doc_id long, pos int, start int, end int, kind string, n_tokens int, glue string, shown string"
 
 
 def count_tokens(text: str) -> int:
-    return sum(1 for _ in _TOKENS.finditer(text))
+    return sum(1 for _ in _TOKENS.finditer(text)) if text.strip() else 0
 
 
 @dataclass
 class Unit:
+    """A piece of a document: where it is, and how it is shown. ``glue`` stands before it when it follows another unit of its chunk."""
+
     start: int
     end: int
     kind: str
     shown: str
     tokens: int
+    glue: str = "\n\n"
+
+
+def _cuts(text: str, start: int, end: int, kind: str, show: Callable[[str], str], tokens: Callable[[str], int]) -> list[Unit]:
+    """A line over the budget, cut every ``CUT`` characters; a cut that is still over it, every ``BUDGET`` characters, each a token at most."""
+    out = []
+    for at in range(start, end, CUT):
+        stop = min(at + CUT, end)
+        shown = show(text[at:stop])
+        edges = range(at, stop, BUDGET) if tokens(shown) > BUDGET else (at,)
+        for edge in edges:
+            shown = show(text[edge : min(edge + BUDGET, stop)]) if len(edges) > 1 else shown
+            out.append(Unit(edge, min(edge + BUDGET, stop) if len(edges) > 1 else stop, kind, shown, tokens(shown), ""))
+    return out
 
 
 def line_units(text: str, tokens: Callable[[str], int] = count_tokens) -> list[Unit]:
-    """Lines with their line ends; one over the budget is cut every ``CUT`` characters."""
+    """Lines with their line ends, as they are; one over the budget is cut."""
     out, at = [], 0
     for line in text.split("\n"):
         end = min(len(text), at + len(line) + 1)
         if end > at:
             n = tokens(text[at:end])
-            edges = range(at, end, CUT) if n > BUDGET else (at,)
-            for start in edges:
-                stop = min(start + CUT, end) if n > BUDGET else end
-                piece = text[start:stop]
-                out.append(Unit(start, stop, "prose", piece, tokens(piece) if n > BUDGET else n))
+            out += _cuts(text, at, end, "prose", lambda x: x, tokens) if n > BUDGET else [Unit(at, end, "prose", text[at:end], n, "")]
         at = end
     return out
 
 
-def markdown_units(text: str, tokens: Callable[[str], int] = count_tokens) -> list[Unit]:
-    """Fences, table rows, prose and blank runs, which tile the text.
+def _fences(text: str) -> Iterator[tuple[int, int]]:
+    """Marks at line begins, two by two; a fence runs to the end of its closing line, and one without an end is none."""
+    marks = [m.start() for m in _FENCE_MARK.finditer(text)]
+    for begin, close in zip(marks[::2], marks[1::2], strict=False):
+        line_end = text.find("\n", close)
+        yield begin, len(text) if line_end < 0 else line_end + 1
 
-    A line walk: a fence line outside a fence opens one if another follows; blank lines part blocks; a block whose lines are
-    piped but for one at most, three at least, is a table, whose header and separator show nothing.
-    """
-    lines, at = [], 0
-    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
-        lines.append((at, line))
+
+def _lines(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    at = start
+    for line in text[start:end].splitlines(keepends=True):
+        yield at, at + len(line)
         at += len(line)
-    out: list[Unit] = []
-    block: list[tuple[int, str]] = []
-
-    def add(start: int, end: int, kind: str, shown: str) -> None:
-        out.append(Unit(start, end, kind, shown, tokens(shown) if shown.strip() else 0))
-
-    def close() -> None:
-        if not block:
-            return
-        full = [x for _, x in block]
-        piped = sum(x.lstrip().startswith("|") for x in full)
-        if len(full) >= 3 and piped >= len(full) - 1:
-            for i, (start, x) in enumerate(block):
-                bare = re.fullmatch(r"[\s|:\-]+", x) and "-" in x
-                scaffold = i == 0 or bare
-                add(start, start + len(x), "table_scaffold" if scaffold else "table_row", "" if scaffold else x)
-        else:
-            add(block[0][0], block[-1][0] + len(block[-1][1]), "prose", "".join(full))
-        block.clear()
-
-    i = 0
-    while i < len(lines):
-        start, line = lines[i]
-        if line.startswith("```"):
-            close_at = next((j for j in range(i + 1, len(lines)) if lines[j][1].startswith("```")), None)
-            if close_at is not None:
-                close()
-                body = "".join(x for _, x in lines[i : close_at + 1])
-                add(start, start + len(body), "code", body)
-                i = close_at + 1
-                continue
-        if line.strip():
-            block.append((start, line))
+
+
+def _table(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+    """A line each: header, separators and blank lines show nothing; a row is shown with the header's labels."""
+    headers = None
+    for a, b in _lines(text, start, end):
+        line = text[a:b].strip()
+        if headers is None:
+            headers = P.cells(line)
+            yield a, b, "table_scaffold", ""
+        elif not line or P.is_separator(line):
+            yield a, b, "table_scaffold", ""
         else:
-            close()
-            if out and out[-1].kind == "whitespace" and out[-1].end == start:
-                out[-1].end += len(line)
+            yield a, b, "table_row", P.transform(P.rendered_row(headers, P.cells(line)))
+
+
+def _between(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+    """What lies outside fences, parted by blank lines, which are pieces of their own."""
+    at = start
+    for m in [*_GAP.finditer(text, start, end), None]:
+        stop = m.start() if m else end
+        if stop > at:
+            piece = text[at:stop]
+            if not piece.strip():
+                yield at, stop, "whitespace", ""
+            elif P.is_table(piece):
+                yield from _table(text, at, stop)
             else:
-                add(start, start + len(line), "whitespace", "")
-        i += 1
-    close()
+                yield at, stop, "prose", P.transform(piece)
+        if m:
+            yield m.start(), m.end(), "whitespace", ""
+            at = m.end()
+
+
+def markdown_units(text: str, tokens: Callable[[str], int] = count_tokens) -> list[Unit]:
+    """Fences, table rows, prose and blank runs, which tile the text; prose and rows are shown transformed, fences as they are."""
+    out, at = [], 0
+    for begin, end in [*_fences(text), (len(text), len(text))]:
+        out += [Unit(a, b, kind, shown, tokens(shown)) for a, b, kind, shown in _between(text, at, begin)]
+        if end > begin:
+            out.append(Unit(begin, end, "code", text[begin:end], tokens(text[begin:end])))
+        at = end
+    return out
+
+
+def fitting(units: list[Unit], text: str, tokens: Callable[[str], int] = count_tokens) -> list[Unit]:
+    """Units over the budget as their lines, each shown anew, and such lines as cuts. Only the first piece has the unit's glue: the others go on where it ends."""
+    out = []
+    for u in units:
+        if u.tokens <= BUDGET:
+            out.append(u)
+            continue
+        show = (lambda x: x) if u.kind == "code" else P.transform
+        lines, pieces = list(_lines(text, u.start, u.end)), []
+        for a, b in lines:
+            shown = show(text[a:b])
+            n = tokens(shown)
+            pieces += [Unit(a, b, u.kind, shown, n, "")] if n <= BUDGET and len(lines) > 1 else _cuts(text, a, b, u.kind, show, tokens)
+        pieces[0].glue = u.glue
+        out += pieces
     return out
 
 
@@ -125,62 +162,80 @@ def packed(units: list[Unit]) -> list[list[Unit]]:
     return out
 
 
-def _split(units: list[Unit], text: str) -> list[Unit]:
-    """Units over the budget as lines, and such lines as cuts."""
-    out = []
-    for u in units:
-        if u.tokens <= BUDGET:
-            out.append(u)
-        else:
-            out += [Unit(u.start + p.start, u.start + p.end, u.kind, p.shown, p.tokens) for p in line_units(text[u.start : u.end])]
-    return out
-
-
 def block_type(units: list[Unit]) -> str:
-    """The kind with most tokens; at a tie the first by name."""
-    sums: dict[str, int] = {}
+    """The kind of most units that show anything; at a tie the first by name."""
+    counts: dict[str, int] = {}
     for u in units:
         if u.shown.strip():
-            sums[u.kind] = sums.get(u.kind, 0) + u.tokens
-    return min(sums, key=lambda k: (-sums[k], k)) if sums else "whitespace"
+            counts[u.kind] = counts.get(u.kind, 0) + 1
+    return min(counts, key=lambda k: (-counts[k], k)) if counts else "whitespace"
+
+
+def embedded(units: list[Unit]) -> str:
+    """The text that is ranked: units with their glue; blank ones only inside a unit that was split; no two empty lines in a row."""
+    parts = [u for u in units if u.shown.strip() or not u.glue]
+    return re.sub(r"\n{3,}", "\n\n", "".join([(u.glue if i else "") + u.shown for i, u in enumerate(parts)]).strip())
 
 
 def greedy_chunks(docs: DataFrame, markdown: bool = False) -> DataFrame:
-    """Chunks of each document: doc_id, idx, chunk_id, char_start, char_end, n_tokens, block_type, text."""
+    """Chunks of each document: doc_id, idx, chunk_id, char_start, char_end, n_tokens, block_type, text, text_embed.
+
+    ``text`` is the slice of the document, ``text_embed`` what is embedded and ranked; its tokens are counted anew. Chunks that don't join
+    back to their document, and a chunk over the budget, raise.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 text = text or ""
-                units = _split(markdown_units(text), text) if markdown else line_units(text)
-                chunks = packed(units)
+                chunks = packed(fitting(markdown_units(text), text) if markdown else line_units(text))
                 if "".join(text[c[0].start : c[-1].end] for c in chunks) != text:
                     raise AssertionError(f"chunks of {doc_id} don't join back to it")
-                rows += [(doc_id, i, f"{doc_id}:c{i:03d}", c[0].start, c[-1].end, sum(u.tokens for u in c), block_type(c), text[c[0].start : c[-1].end]) for i, c in enumerate(chunks)]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "chunk_id", "char_start", "char_end", "n_tokens", "block_type", "text"])
+                for i, c in enumerate(chunks):
+                    shown = embedded(c) if markdown else text[c[0].start : c[-1].end]
+                    n = count_tokens(shown)
+                    if n > BUDGET:
+                        raise AssertionError(f"chunk {i} of {doc_id} has {n} tokens")
+                    rows.append((doc_id, i, f"{doc_id}:c{i:03d}", c[0].start, c[-1].end, n, block_type(c), text[c[0].start : c[-1].end], shown))
+            yield pd.DataFrame(rows, columns=["doc_id", "idx", "chunk_id", "char_start", "char_end", "n_tokens", "block_type", "text", "text_embed"])
 
     return docs.select("doc_id", "text").mapInPandas(run, CHUNK_SCHEMA)
 
 
+def chunk_records(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are stored: with the length and the two hashes of the slice, exact and normalised."""
+    raw = F.col("text")
+    return chunks.select(F.col("chunk_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), raw.alias("text_raw"), "text_embed", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"),
+                         F.length(raw).cast("long").alias("chars_raw"), F.col("n_tokens").alias("tokens_embed"), "block_type", F.sha2(raw, 256).alias("sha256"), F.sha2(T.normalised(raw), 256).alias("sha256_norm"))
+
+
+def chunk_types(chunks: DataFrame) -> DataFrame:
+    """(block_type, n_chunks, n_tokens, most, mean) a block type."""
+    return chunks.groupBy("block_type").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most"), F.round(F.avg("n_tokens"), 6).alias("mean"))
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """Markdown units of each document."""
+    """Markdown units of each document, those over the budget split: doc_id, pos, start, end, kind, n_tokens, glue, shown."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, u.start, u.end, u.kind, u.tokens) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for i, u in enumerate(markdown_units(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "start", "end", "kind", "n_tokens"])
+            rows = [(d, i, u.start, u.end, u.kind, u.tokens, u.glue, u.shown) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for i, u in enumerate(fitting(markdown_units(t or ""), t or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "pos", "start", "end", "kind", "n_tokens", "glue", "shown"])
 
     return docs.select("doc_id", "text").mapInPandas(run, UNIT_SCHEMA)
 
 
 def line_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, start, end): lines with their line ends, in code points."""
-    parts = F.split(F.col("text"), "\n", -1)
-    lines = docs.select("doc_id", F.length("text").alias("n"), F.posexplode(parts).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))
-    return lines.withColumn("start", start).withColumn("end", F.least(F.col("n"), F.col("start") + F.length("line") + 1)).filter("end > start").select("doc_id", "line_no", "start", "end")
+    """(doc_id, line_no, start, end): lines with their line ends, in code points. Each row by itself, whatever other rows share its id."""
+    lengths = F.transform(F.split(F.col("text"), "\n", -1), lambda line: F.length(line) + 1)
+    # Sums run within parts of the list, and over the parts: an array that grows by one at a time is copied each time.
+    spans = F.expr("""flatten(transform(array(transform(sequence(0, (size(l) - 1) div 256), k -> slice(l, 256 * k + 1, 256))), parts -> flatten(zip_with(parts,
+        aggregate(parts, struct(0 AS at, CAST(array() AS array<int>) AS out), (a, c) -> struct(a.at + aggregate(c, 0, (t, x) -> t + x) AS at, concat(a.out, array(a.at)) AS out), a -> a.out),
+        (c, base) -> aggregate(c, struct(base AS at, CAST(array() AS array<struct<start:int,end:int>>) AS out),
+            (a, x) -> struct(a.at + x AS at, concat(a.out, array(struct(a.at AS start, a.at + x AS end))) AS out), a -> a.out)))))""")
+    rows = docs.filter("text IS NOT NULL").select("doc_id", F.length("text").alias("n"), lengths.alias("l")).select("doc_id", "n", F.posexplode(spans).alias("line_no", "s"))
+    return rows.select("doc_id", "line_no", "s.start", F.least("n", "s.end").alias("end")).filter("end > start")
 
 
 def partition_check(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -226,7 +281,22 @@ def table_rows(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def combined_offsets(pages: DataFrame, n_header: int) -> DataFrame:
-    """Line numbers of pages (n, text) in one file with, before each page, a blank line, a marker line and a blank line."""
-    sized = pages.withColumn("n_lines", F.size(F.split("text", "\n"))).withColumn("_all", F.lit(0))
+    """The marker's line number of each page (n, text) in one file with, before each page, a blank line, a marker line and a blank line. Line ends at the end of a page are no lines of it."""
+    body = F.regexp_replace("text", r"\n+\z", "")
+    sized = pages.withColumn("n_lines", F.when(body == "", 0).otherwise(F.size(F.split(body, "\n", -1)))).withColumn("_all", F.lit(0))
     sized = running_total(sized.select("n", T.title(F.col("text")).alias("title"), "n_lines", "_all"), ["_all"], "n", F.col("n_lines") + 3)
-    return sized.select("n", "title", "n_lines", (n_header + F.col("before") + 4).alias("body_line"))
+    return sized.select("n", "title", "n_lines", (n_header + F.col("before") + 2).alias("body_line"))
+
+
+def combined_lines(pages: DataFrame, header: list[str]) -> DataFrame:
+    """(line_no, line) of that file: the header's lines, then each page (n, slug, text) under its marker ``@@PAGE n/N :: slug``."""
+    offsets = combined_offsets(pages.select("n", "text"), len(header)).select("n", "body_line", "n_lines")
+    whole = pages.agg(F.count("*").alias("n_pages"))  # one row
+    marked = pages.join(offsets, "n").crossJoin(F.broadcast(whole))
+    number = lambda c: F.lpad(c.cast("string"), F.greatest(F.lit(2), F.length(c.cast("string"))), F.lit("0"))
+    marker = F.concat(F.lit("@@PAGE "), number(F.col("n")), F.lit("/"), F.col("n_pages").cast("string"), F.lit(" :: "), F.col("slug"))
+    body = F.when(F.col("n_lines") == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("text", r"\n+\z", ""), "\n", -1))
+    lines = F.concat(F.array(F.lit(""), marker, F.lit("")), body)
+    rows = marked.select("body_line", F.posexplode(lines).alias("i", "line")).select((F.col("body_line") - 1 + F.col("i")).alias("line_no"), "line")
+    top = pages.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(header)], "line_no long, line string")
+    return top.union(rows)

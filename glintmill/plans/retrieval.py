@@ -151,7 +151,7 @@ SQL = {
     "vector_norms": "WITH n AS (SELECT vec_id, len(embedding)::INT AS dim, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings) SELECT vec_id, dim, round(norm, 6) AS norm, abs(norm - 1) <= 1e-4 AS is_unit FROM n",
     "dense_topk": f"WITH {_DENSE} SELECT q, rank, vec_id, round(score, 6) AS score FROM hits",
     "doc_collapse": f"WITH {_DENSE}, b AS (SELECT q, vec_id // 100 AS doc, vec_id, rank AS hit_rank FROM hits QUALIFY row_number() OVER (PARTITION BY q, vec_id // 100 ORDER BY rank) = 1) SELECT q, (row_number() OVER (PARTITION BY q ORDER BY hit_rank))::INT AS rank, doc, vec_id, hit_rank FROM b QUALIFY rank <= 3",
-    "hash_embed": f"WITH {sql.HASHED} SELECT doc_id, bucket::INT AS bucket, round(c / sqrt(square::DOUBLE), 6) AS value FROM hb JOIN hs USING (doc_id)",
+    "hash_embed": f"WITH {sql.hashed()} SELECT doc_id, bucket::INT AS bucket, round(c / sqrt(square::DOUBLE), 6) AS value FROM hb JOIN hs USING (doc_id)",
     "rrf_scores": f"WITH {sql.RUNS} SELECT item_id, doc_id, round(score, 9) AS score FROM fu",
     "hybrid_topk": f"WITH {sql.RUNS} SELECT item_id, rank::INT AS rank, doc_id, round(score, 9) AS score FROM rh WHERE rank <= 20",
     "gold_depth": f"WITH {sql.bm25(sql.degraded('text'))}, {sql.ranked('sc', 'r')}, {sql.GOLD} SELECT item_id, min(rank)::INT AS depth FROM r JOIN gold USING (item_id, doc_id) GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glintmill.functions.markup import ACCORDIONS, CARDS, COMMENTS, LOOSE_STEPS, STEP, STEPS, TABS, WRAPPERS
 from glintmill.functions.text import STRIDE, TOKEN
 from glintmill.operators.retrieval import DIM
 
@@ -23,26 +24,27 @@ VOCAB = f"tok AS (SELECT doc_id, unnest({terms('text')}) AS term FROM documents)
 FREQUENCY = f"{VOCAB}, freq AS (SELECT folded AS term, count(DISTINCT doc_id) AS df FROM tok JOIN fold USING (term) GROUP BY 1)"
 
 
-def bm25(questions: str, name: str = "sc") -> str:
-    """CTEs up to ``name`` (item_id, doc_id, score) at full depth; ``questions`` is an expression on benchmark.text."""
+def bm25(questions: str, name: str = "sc", docs: str = "documents") -> str:
+    """CTEs up to ``name`` (item_id, doc_id, score) at full depth; ``questions`` is an expression on benchmark.text, ``docs`` has doc_id and text."""
     return f"""q AS (SELECT item_id, {questions} AS terms FROM benchmark),
-      btok AS (SELECT doc_id, unnest({terms('text')}) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM btok GROUP BY ALL),
-      dl AS (SELECT doc_id, len({terms('text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), bdf AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+      btok AS (SELECT doc_id, unnest({terms('text')}) AS term FROM {docs}), post AS (SELECT doc_id, term, count(*) AS tf FROM btok GROUP BY ALL),
+      dl AS (SELECT doc_id, len({terms('text')}) AS dl FROM {docs}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), bdf AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
       qt AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(terms) AS term FROM q) GROUP BY ALL),
       hit AS (SELECT item_id, doc_id, sum(floor(qf * (ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (1.2 + 1) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) * 1e9 + 0.5)::BIGINT)::DOUBLE / 1e9 AS score
         FROM qt JOIN post USING (term) JOIN bdf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
-      {name} AS (SELECT item_id, doc_id, coalesce(score, 0.0) AS score FROM q CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN hit USING (item_id, doc_id))"""
+      {name} AS (SELECT item_id, doc_id, coalesce(score, 0.0) AS score FROM q CROSS JOIN (SELECT doc_id FROM {docs}) LEFT JOIN hit USING (item_id, doc_id))"""
 
 
-HASHED = f"""hb AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS bucket, count(*) AS c FROM (SELECT doc_id, unnest({terms('text')}) AS term FROM documents) GROUP BY ALL),
+def hashed(docs: str = "documents") -> str:
+    return f"""hb AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS bucket, count(*) AS c FROM (SELECT doc_id, unnest({terms('text')}) AS term FROM {docs}) GROUP BY ALL),
   hs AS (SELECT doc_id, sum(c * c) AS square FROM hb GROUP BY 1)"""
 
 
-def dense(questions: str, name: str = "de") -> str:
-    return f"""{HASHED}, dq AS (SELECT item_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS bucket, count(*) AS c FROM (SELECT item_id, unnest({questions}) AS term FROM benchmark) GROUP BY ALL),
+def dense(questions: str, name: str = "de", docs: str = "documents") -> str:
+    return f"""{hashed(docs)}, dq AS (SELECT item_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS bucket, count(*) AS c FROM (SELECT item_id, unnest({questions}) AS term FROM benchmark) GROUP BY ALL),
       dqs AS (SELECT item_id, sum(c * c) AS square FROM dq GROUP BY 1), dots AS (SELECT item_id, doc_id, sum(dq.c * hb.c) AS dot FROM dq JOIN hb USING (bucket) GROUP BY ALL),
       {name} AS (SELECT b.item_id, d.doc_id, CASE WHEN hs.square IS NULL OR dqs.square IS NULL THEN 0.0 ELSE coalesce(dot, 0) / sqrt((hs.square * dqs.square)::DOUBLE) END AS score
-        FROM benchmark b CROSS JOIN documents d LEFT JOIN hs USING (doc_id) LEFT JOIN dqs USING (item_id) LEFT JOIN dots USING (item_id, doc_id))"""
+        FROM benchmark b CROSS JOIN {docs} d LEFT JOIN hs USING (doc_id) LEFT JOIN dqs USING (item_id) LEFT JOIN dots USING (item_id, doc_id))"""
 
 
 def ranked(scores: str, name: str) -> str:
@@ -65,3 +67,32 @@ DIFFS = f"""{LONG}, diffs AS (SELECT a.metric, a.item_id, b.variant || '-' || a.
 
 def mean(x: str) -> str:
     return f"round((sum(({x})::DECIMAL(20,12)) / count({x}))::DOUBLE, 6)"
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def flattened(source: str, out: str) -> str:
+    """CTEs up to ``out``: the rows of ``source`` with ``shown``, its column ``body`` after all component rules."""
+    quoted = lambda p: p.replace("'", "''")
+
+    def rules(x: str, which: list[tuple[str, str]]) -> str:
+        for pattern, by in which:
+            x = f"regexp_replace({x}, '{quoted(pattern)}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+        return x
+
+    inner = rf"replace(regexp_replace(b, '^<Steps(?:\s[^>]*)?>|</Steps>$', '', 'g'), '</Step>', '')"
+    tag = f"regexp_extract_all({inner}, '{STEP}')[i - 1]"
+    title = rf"""regexp_extract({tag}, '^<Step\s+title="([^"]*)"', 1)"""
+    block = f"array_to_string(list_transform(string_split_regex({inner}, '{STEP}'), lambda p, i: CASE WHEN i = 1 THEN p ELSE chr(10) || (i - 1) || '.' || CASE WHEN {title} <> '' THEN ' ' || {title} ELSE '' END || chr(10) || p END), '')"
+    return f"""{out}_1 AS (SELECT *, {rules('body', COMMENTS + TABS)} AS b1 FROM {source}),
+      {out}_2 AS (SELECT *, list_transform(regexp_extract_all(b1, '{STEPS}'), lambda b: {block}) AS done, string_split_regex(b1, '{STEPS}') AS around FROM {out}_1),
+      {out} AS (SELECT * EXCLUDE (b1, done, around), {rules("array_to_string(list_transform(around, lambda g, i: g || coalesce(done[i], '')), '')", LOOSE_STEPS + ACCORDIONS + CARDS + WRAPPERS)} AS shown FROM {out}_2)"""
+
+
+def cells(line: str) -> str:
+    inner = rf"regexp_replace(replace({strip(line)}, '\|', chr(1)), '^\||\|$', '', 'g')"
+    coded = f"array_to_string(list_transform(string_split({inner}, '`'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '|', chr(1)) ELSE x END), '`')"
+    clean = strip("replace(regexp_replace(" + strip("replace(c, chr(1), '|')") + ", ' {2,}', ' ', 'g'), '`', '')")
+    return f"list_transform(string_split({coded}, '|'), lambda c: {clean})"

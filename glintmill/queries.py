@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glintmill.plans import audit, evaluation, lexical, retrieval, segmentation
+from glintmill.plans import audit, evaluation, lexical, markdown, retrieval, segmentation
 
-PLANS = (lexical, retrieval, evaluation, segmentation, audit)
+PLANS = (lexical, retrieval, evaluation, segmentation, markdown, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

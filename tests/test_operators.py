@@ -164,7 +164,7 @@ def test_needed(spark):
 
 
 @pytest.mark.parametrize("line, cells", [
-    ("| a | b |", ["a", "b"]), ("| `a|b` | c |", ["a|b", "c"]), (r"| a \| b | c |", ["a | b", "c"]), ("|  a   b |  |", ["a b", ""]), ("a | b", ["a", "b"]), (r"| a \|", ["a |"]), ("| `open | x |", ["open | x"])])
+    ("| a | b |", ["a", "b"]), ("| `a|b` | c |", ["a|b", "c"]), (r"| a \| b | c |", ["a | b", "c"]), ("|  a   b |  |", ["a b", ""]), ("|\ta\t| x `` y |", ["a", "x  y"]), ("a | b", ["a", "b"]), (r"| a \|", ["a |"]), ("| `open | x |", ["open | x"])])
 def test_cells(spark, line, cells):
     assert one(spark, M.cells(F.lit(line))) == cells
 
@@ -187,11 +187,63 @@ def test_transform(spark, text, out):
     assert one(spark, M.transform(F.lit(text))) == out
 
 
+def test_rules_on_strings_are_those_on_columns(spark):
+    """Random mixtures of what the rules look at."""
+    import random
+
+    from glintmill.functions import plain as P
+
+    rng = random.Random(3)
+    parts = ['<Tab title="a">', "<Tab>", "</Tabs>", "<Tabs x>", "<Steps>", '<Step title="s">', "<Step>", "</Step>", "</Steps>", '<Card icon="i" title="T">', "</Card>", '<Accordion title="w">', "{/* c", "*/}", "<Note>", "<br />", "<DIV a>", "```", "\n", "\n```\n", "x", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    got = docs(spark, texts).select("doc_id", M.transform(F.col("text")).alias("t")).collect()
+    assert {r.doc_id: r.t for r in got} == {i: P.transform(t) for i, t in enumerate(texts)}
+    rows = ["".join(rng.choice(["|", "`", "\\", "\\|", "a", "  ", " ", "\t", "-", ":"]) for _ in range(rng.randint(1, 20))) for _ in range(600)]
+    got = docs(spark, rows).select("doc_id", M.cells(F.col("text")).alias("c"), M.is_separator(F.col("text")).alias("s")).collect()
+    assert {r.doc_id: (r.c, r.s) for r in got} == {i: (P.cells(t), P.is_separator(t)) for i, t in enumerate(rows)}
+
+
 def test_markdown_units_tile_and_keep_fences_whole():
     text = "# T\n\nprose\nmore\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n\nstill\n```\nafter\n```\nopen"
     units = segment.markdown_units(text)
     assert "".join(text[u.start : u.end] for u in units) == text
     assert [u.kind for u in units] == ["prose", "whitespace", "prose", "whitespace", "table_scaffold", "table_scaffold", "table_row", "whitespace", "code", "prose"]
+    assert [u.shown for u in units] == ["# T", "", "prose\nmore", "", "", "", "1\nb: 2", "", "```\ncode\n\nstill\n```\n", "after\n```\nopen"]
+
+
+def test_what_is_embedded(spark):
+    text = "<Note>one</Note>\n\n\n\n| a | b |\n|---|---|\n| 1 | <b>2{/* x */} |\n\n```\ncode\n\nmore\n```\n\nlast"
+    row = segment.greedy_chunks(docs(spark, [text]), markdown=True).first()
+    assert row.text == text and row.text_embed == "one\n\n1\nb: <b>2\n\n```\ncode\n\nmore\n```\n\nlast"
+    assert row.n_tokens == segment.count_tokens(row.text_embed) and row.block_type == "prose"
+
+
+def test_a_split_fence_keeps_its_blank_lines(spark):
+    text = "before\n\n```\n" + "word word word word\n\n" * 100 + "```\n"
+    chunks = segment.greedy_chunks(docs(spark, [text]), markdown=True).orderBy("idx").collect()
+    assert "".join(c.text for c in chunks) == text and len(chunks) == 2 and all(c.n_tokens <= segment.BUDGET for c in chunks)
+    assert chunks[0].text_embed.startswith("before\n\n```\nword word word word\n\nword") and "\n\n\n" not in chunks[0].text_embed
+
+
+def test_dense_lines_fit(spark):
+    """Punctuation and letters of other scripts are a token each."""
+    texts = ["?!" * 700, "é" * 1200, "| a | b |\n|---|---|\n| x | " + "?" * 1000 + " |", "{/* " + "!" * 900 + " */}end"]
+    for markdown in (False, True):
+        chunks = segment.greedy_chunks(docs(spark, texts), markdown)
+        guards.within_tokens(chunks, segment.BUDGET)
+        assert all(r.whole for r in segment.partition_check(chunks, docs(spark, texts)).collect())
+
+
+def test_line_spans_of_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(1, "a\nbc"), (1, "xyz\n"), (2, ""), (3, None), (4, "\n" * 600)], "doc_id long, text string")
+    rows = segment.line_spans(d).collect()
+    assert sorted((r.line_no, r.start, r.end) for r in rows if r.doc_id == 1) == [(0, 0, 2), (0, 0, 4), (1, 2, 4)]
+    assert sorted((r.line_no, r.start, r.end) for r in rows if r.doc_id == 4) == [(i, i, i + 1) for i in range(600)] and {r.doc_id for r in rows} == {1, 4}
+
+
+def test_titles(spark):
+    for text, title in (("x\n#  Hello \n# b", "Hello"), ("#no\n## no", "(untitled)"), ("# ", ""), ("a\r\n# b\r\nc", "b"), ("", "(untitled)")):
+        assert one(spark, T.title(F.lit(text))) == title
 
 
 def test_packing(spark):
@@ -204,9 +256,9 @@ def test_packing(spark):
     guards.within_tokens(chunks, segment.BUDGET)
 
 
-def test_block_type_is_by_tokens_and_then_by_name():
+def test_block_type_is_by_units_and_then_by_name():
     u = lambda k, n: segment.Unit(0, 0, k, "x", n)
-    assert segment.block_type([u("prose", 1), u("prose", 1), u("code", 5)]) == "code"
+    assert segment.block_type([u("prose", 1), u("prose", 1), u("code", 5)]) == "prose"
     assert segment.block_type([u("prose", 2), u("code", 2)]) == "code"
     assert segment.block_type([]) == "whitespace"
 
