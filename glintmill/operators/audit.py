@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintmill.operators.lexical import document_frequency, plural_fold, term_rows, vocabulary
+from glintmill.operators.lexical import anchors, candidates, document_frequency, plural_fold, term_rows, vocabulary
+from glintmill.operators.ordered import ranked_in_buckets, running_total
 from glintmill.sources.tables import beside
 
 # Fixed pattern: slash commands, flags, file names, camel case.
@@ -26,7 +27,8 @@ def shared_terms(docs: DataFrame, questions: DataFrame, gold: DataFrame) -> Data
 def leak_flags(shared: DataFrame, df_max: int, least: int = FLAG_TERMS) -> DataFrame:
     """Questions that share at least so many rare terms: item_id, n_rare, rarest; the rarest first."""
     r = shared.filter(F.col("df") <= df_max).groupBy("item_id").agg(F.count("*").alias("n_rare"), F.min("df").alias("rarest")).filter(F.col("n_rare") >= least)
-    return r.withColumn("place", F.row_number().over(Window.orderBy("rarest", F.desc("n_rare"), "item_id")))
+    placed = ranked_in_buckets(r.withColumn("_all", F.lit(0)), ["_all"], F.col("rarest"), [F.desc("n_rare"), "item_id"])
+    return placed.withColumnRenamed("rank", "place").drop("_all")
 
 
 def leak_sweep(shared: DataFrame, n_docs: int, least: int = FLAG_TERMS) -> DataFrame:
@@ -34,7 +36,8 @@ def leak_sweep(shared: DataFrame, n_docs: int, least: int = FLAG_TERMS) -> DataF
     # A question is flagged from the df of its least-th rarest term on.
     nth = shared.withColumn("i", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))).filter(F.col("i") == least).filter(F.col("df") <= n_docs)
     steps = nth.groupBy(F.col("df").alias("df_max")).agg(F.count("*").alias("c"))
-    return steps.select("df_max", F.sum("c").over(Window.orderBy("df_max")).alias("flagged"))
+    summed = running_total(steps.withColumn("_all", F.lit(0)), ["_all"], "df_max", F.col("c"))
+    return summed.select("df_max", (F.col("before") + F.col("c")).alias("flagged"))
 
 
 def answer_keys(answers: DataFrame, frequency: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -43,6 +46,7 @@ def answer_keys(answers: DataFrame, frequency: DataFrame, vocab: DataFrame) -> D
     spans = answers.select("id", F.explode(F.regexp_extract_all("answer", F.lit("`([^`]+)`"), F.lit(1))).alias("key")).withColumn("key", F.trim("key")).filter(~F.col("key").contains(" "))
     tokens = plural_fold(term_rows(spans.select("key").distinct(), "key", "key"), vocab).join(frequency.withColumnRenamed("term", "folded"), "folded", "left")
     rare = tokens.groupBy("key").agg(F.max(F.coalesce("df", F.lit(0))).alias("df")).filter(F.col("df") <= RARE_DF).select("key")
+    # Fixed pattern: signs of a name.
     punctuated = spans.filter(F.col("key").rlike(r"[/\-.@:+_]"))
     kept = names.union(punctuated).union(spans.join(rare, "key", "left_semi").select("id", "key")).distinct()
     return kept.filter(F.length(F.regexp_replace("key", "[^A-Za-z0-9]", "")) >= 3)
@@ -50,9 +54,14 @@ def answer_keys(answers: DataFrame, frequency: DataFrame, vocab: DataFrame) -> D
 
 def restatements(docs: DataFrame, keys: DataFrame, gold: DataFrame) -> DataFrame:
     """(id, doc_id): documents outside the gold that hold every key of a question, in any case. A question without keys has none."""
-    sets = keys.groupBy("id").agg(F.collect_set(F.lower("key")).alias("keys"))
-    pairs = docs.select("doc_id", F.lower("text").alias("low")).crossJoin(beside(sets)).filter(F.forall("keys", lambda k: F.col("low").contains(k)))
-    return pairs.select("id", "doc_id").join(gold.select(F.col("item_id").alias("id"), "doc_id"), ["id", "doc_id"], "left_anti")
+    sets = beside(keys.groupBy("id").agg(F.collect_set(F.lower("key")).alias("keys")))  # keys of one answer
+    holds = F.forall("keys", lambda k: F.lower("text").contains(k))
+    near = candidates(docs, keys.select("id", F.explode(anchors(F.col("key"), 1)).alias("anchor")))
+    pairs = docs.join(beside(near), "doc_id").join(sets, "id").filter(holds).select("id", "doc_id")
+    # Keys without any letter or digit of ASCII have no postings: such questions are looked for in every text.
+    bare = beside(sets.filter(F.forall("keys", lambda k: F.size(anchors(k, 1)) == 0)))
+    pairs = pairs.union(docs.crossJoin(bare).filter(holds).select("id", "doc_id")).distinct()
+    return pairs.join(gold.select(F.col("item_id").alias("id"), "doc_id"), ["id", "doc_id"], "left_anti")
 
 
 def triage(questions: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintmill.operators import guards
+from glintmill.operators.ordered import running_total
+from glintmill.sources.tables import beside
+
 REPS, SEED = 2000, 20260806
 
 
@@ -15,13 +19,14 @@ def resampled_means(values: DataFrame, keys: list[str], reps: int = REPS, seeds:
     """
     per = values.groupBy(*keys, "cluster").agg(F.sum(F.col("value").cast("decimal(20,12)")).cast("decimal(20,12)").alias("s"), F.count("value").alias("c"))
     clusters = values.select("cluster").distinct()
-    numbered = clusters.withColumn("slot", F.row_number().over(Window.orderBy("cluster")) - 1)  # one row a question
+    guards.none_of(clusters.filter("cluster IS NULL"), "values of no cluster")
+    numbered = running_total(clusters.withColumn("_all", F.lit(0)), ["_all"], "cluster", F.lit(1)).select("cluster", F.col("before").alias("slot"))
     n = clusters.agg(F.count("*").alias("n"))
     spark = values.sparkSession
     draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("at", F.explode(F.expr("sequence(0, n - 1)")))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", "seed", "rep", "at").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
     picked = draws.select("seed", "rep", draw.alias("slot")).groupBy("seed", "rep", "slot").agg(F.count("*").cast("int").alias("times"))
-    joined = picked.join(F.broadcast(numbered), "slot").join(per, "cluster")
+    joined = picked.join(beside(numbered), "slot").join(per, "cluster")
     return joined.groupBy(*keys, "seed", "rep").agg((F.sum(F.col("s") * F.col("times")).cast("double") / F.sum(F.col("c") * F.col("times"))).alias("mean"))
 
 

@@ -7,12 +7,23 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintmill.operators.lexical import anchors, candidates
+from glintmill.sources.tables import beside
+
 METRICS = ("recall_3", "recall_10", "precision_3", "reciprocal_rank")
 
 
 def gold_by_containment(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that contain the question's text. ``questions`` should be small enough to broadcast."""
-    return docs.join(questions, F.col("text").contains(F.col("question")) & (F.col("question") != "")).select("item_id", "doc_id").distinct()
+    """(item_id, doc_id): documents that contain the text of a question (item_id, question); an empty one is contained in none.
+
+    Candidates come from postings, by the rarest of what the question's text must bring along; their texts are looked at.
+    """
+    q = questions.filter("question <> ''")
+    near = candidates(docs, q.select(F.col("item_id").alias("id"), F.explode(anchors(F.col("question"))).alias("anchor")))
+    with_words = docs.join(beside(near), "doc_id").join(beside(q), F.col("id") == F.col("item_id")).filter(F.col("text").contains(F.col("question"))).select("item_id", "doc_id")
+    # A question without a letter or digit of ASCII has no postings: each such is looked for in every text.
+    bare = beside(q.filter(F.size(anchors(F.col("question"))) == 0))
+    return with_words.union(docs.join(bare, F.col("text").contains(F.col("question"))).select("item_id", "doc_id")).distinct()
 
 
 def score_rows(rankings: DataFrame, gold: DataFrame, questions: DataFrame, surface: DataFrame, cut: int = 10) -> DataFrame:
@@ -26,7 +37,7 @@ def score_rows(rankings: DataFrame, gold: DataFrame, questions: DataFrame, surfa
     per = marked.groupBy("variant", "item_id").agg(hits(3).alias("h3"), hits(cut).alias("h10"), F.min(F.when(F.col("is_gold") == 1, F.col("rank"))).alias("first_rank"),
                                                    F.count_if((F.col("rank") <= cut) & (F.col("on_surface") == 1)).alias("surface_hits"))
     variants = rankings.select("variant").distinct()
-    out = questions.select("item_id").crossJoin(F.broadcast(variants)).join(n_gold, "item_id", "left").join(per, ["variant", "item_id"], "left")
+    out = questions.select("item_id").crossJoin(beside(variants)).join(n_gold, "item_id", "left").join(per, ["variant", "item_id"], "left")
     n = F.coalesce("n_gold", F.lit(0))
     defined = lambda x: F.when(n > 0, x)
     return out.select(

@@ -13,9 +13,10 @@ def text_hashes(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """Groups of documents with one normalised hash, two at least; ids sorted."""
-    g = text_hashes(docs).groupBy("sha256_norm").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return g.filter("n > 1").select("sha256_norm", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+    """Documents of groups with one normalised hash, two at least: a row a member, with the group's first id and its size."""
+    h = text_hashes(docs).select("doc_id", "sha256_norm")
+    g = h.groupBy("sha256_norm").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return h.join(g, "sha256_norm").select("sha256_norm", "n", "first_id", "doc_id")
 
 
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:

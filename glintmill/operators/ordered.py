@@ -23,6 +23,29 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, buc
     return inner.join(sums, [*keys, "_b"]).withColumn("before", F.col("_base") + F.col("_in")).drop("_v", "_b", "_base", "_in")
 
 
+def ranked_in_buckets(df: DataFrame, keys: list[str], bucket: Column, order: list) -> DataFrame:
+    """Adds ``rank`` (from 1) in the order of ``bucket``, then of ``order``: rows are sorted within a bucket, and only the buckets' sizes within a key."""
+    rows = df.withColumn("_b", bucket)
+    sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    up_to = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).drop("_n")
+    inner = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    return inner.join(sizes, [*keys, "_b"]).withColumn("rank", (F.col("_base") + F.col("_in")).cast("int")).drop("_b", "_base", "_in")
+
+
+def deep_ranks(scores: DataFrame, query: str, item: str, levels: int = 4096) -> DataFrame:
+    """Adds ``rank`` at full depth: by ``score`` downwards, ties by id.
+
+    Buckets are levels of the score. Rows of score zero, of which there may be as many as documents, have a level of their own, in buckets of
+    ids if these are numbers.
+    """
+    s = F.col("score")
+    level = F.when(s > 0, -F.ceil(s * levels)).when(s < 0, F.floor(-s * levels) + 1).otherwise(F.lit(0)).cast("long")
+    number = dict(scores.dtypes)[item] in ("bigint", "int")
+    part = F.when(s == 0, F.floor(F.col(item) / BUCKET)).otherwise(F.lit(0)).cast("long") if number else F.lit(0).cast("long")
+    return ranked_in_buckets(scores, [query], F.struct(level.alias("level"), part.alias("part")), [F.desc("score"), item])
+
+
 def order_statistics(df: DataFrame, key: str, value: str, places: dict[str, Column], fine: float = 100.0) -> DataFrame:
     """One row a key: for each name the value at that 0-based place of the sorted values; ``places`` are columns of ``n``, the group's rows.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from glintmill.functions import text as T
 from glintmill.operators.lexical import term_rows
+from glintmill.operators.ordered import deep_ranks, running_total
+from glintmill.sources.holding import hold
 from glintmill.sources.tables import beside
 
 K1, B, RRF_K, DIM = 1.2, 0.75, 60, 64
@@ -30,7 +32,10 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """One row: n documents, average length; empty documents count. An empty corpus raises when read."""
-    s = lengths(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _checked(lengths(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def _checked(s: DataFrame) -> DataFrame:
     return s.select(F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("an empty corpus")).cast("long")).alias("n"), "avgdl")
 
 
@@ -39,22 +44,41 @@ def idf(n: F.Column, df: F.Column) -> F.Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score) of documents that hold a query term; ``queries`` (item_id, terms), each occurrence counts.
+    """(item_id, doc_id, score) of documents that hold a query term; ``queries`` (item_id, terms), each occurrence counts; doc_ids are distinct.
 
-    Only postings of query terms go on: queries are few beside the corpus. Terms of the corpus are joined with them by
-    broadcast where a count allows, else by a shuffle on the term.
+    The corpus is read once: postings of query terms go on, each with its document's length, and a posting of no term for every document,
+    from which come the number of documents and their average length. Terms of the corpus are joined with those of queries by
+    broadcast where a count allows, else by a shuffle on the term. An empty corpus raises when read.
     """
     asked = queries.select("item_id", F.explode("terms").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qf"))
-    rows = postings(docs.select("doc_id", "text")).join(beside(asked.select("term").distinct()), "term", "left_semi")
-    frequency = rows.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(statistics(docs))  # one row
-    whole = rows.join(frequency, "term").join(lengths(docs), "doc_id").crossJoin(stats)
+    wanted = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = docs.select("doc_id", T.terms(F.coalesce("text", F.lit(""))).alias("ts"))
+    every = terms.select("doc_id", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(""))).alias("term"))
+    rows = hold(every.join(beside(wanted), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
+    stats = F.broadcast(_checked(rows.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))  # one row
+    rows = rows.filter("term <> ''")
+    whole = rows.join(rows.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(stats)
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     whole = whole.withColumn("weight", weight).select("term", "doc_id", "weight")
     hit = whole.join(beside(asked), "term").withColumn("part", F.floor(F.col("qf") * F.col("weight") * UNIT + 0.5).cast("long"))
     return hit.groupBy("item_id", "doc_id").agg((F.sum("part") / UNIT).alias("score"))
 
 
+def depth_of(scores: DataFrame, docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """(item_id, doc_id, rank): where gold stands at full depth; ``scores`` (item_id, doc_id, score) of scored documents, all others are at 0.0.
+
+    Scored gold is ranked among the scored. Where unscored gold stands follows from counts: all scored, and the unscored of smaller ids.
+    """
+    gold = gold.select("item_id", "doc_id").distinct()
+    found = deep_ranks(scores, "item_id", "doc_id").join(gold, ["item_id", "doc_id"]).select("item_id", "doc_id", "rank")
+    rest = gold.join(scores, ["item_id", "doc_id"], "left_anti")
+    placed = running_total(docs.select("doc_id").withColumn("_all", F.lit(0)), ["_all"], "doc_id", F.lit(1)).select("doc_id", "before")
+    rest = rest.join(placed, "doc_id").withColumnRenamed("doc_id", "gold")
+    other = scores.select("item_id", "doc_id")
+    counted = rest.join(other, "item_id", "left").groupBy("item_id", "gold", "before").agg(F.count("doc_id").alias("n"), F.count_if(F.col("doc_id") < F.col("gold")).alias("earlier"))
+    return found.union(counted.select("item_id", "gold", (F.col("n") + 1 + F.col("before") - F.col("earlier")).cast("int")))
+
+
 def full_depth(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Every document for every query, 0.0 where it wasn't scored."""
     return beside(queries.select("item_id")).crossJoin(docs.select("doc_id")).join(scores, ["item_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -18,6 +18,7 @@ from glintmill.functions import markup as M
 from glintmill.functions import plain as P
 from glintmill.functions import text as T
 from glintmill.operators.ordered import order_statistics, running_total
+from glintmill.sources.tables import beside
 
 BUDGET = 254
 CUT = 2 * BUDGET
@@ -253,7 +254,7 @@ def stratified(rows: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
 def systematic(rows: DataFrame, stratum: str, key: str, size: int) -> DataFrame:
     """Every (n div size)-th row of a stratum in the order of ``key``, ``size`` at most."""
     counts = rows.groupBy(stratum).agg(F.greatest(F.lit(1), F.expr(f"count(*) div {size}")).alias("step"))
-    numbered = running_total(rows, [stratum], key, F.lit(1)).join(F.broadcast(counts), stratum)  # a row a stratum
+    numbered = running_total(rows, [stratum], key, F.lit(1)).join(beside(counts), stratum)
     return numbered.filter((F.col("before") % F.col("step") == 0) & (F.expr("before div step") < size)).drop("before", "step")
 
 

@@ -10,6 +10,7 @@ from glintmill.operators import judging as J
 from glintmill.operators.lexical import document_frequency, vocabulary
 from glintmill.plans import retrieval as R
 from glintmill.plans import sql
+from glintmill.sources.holding import kept
 from glintmill.sources import tables as S
 from glintmill.sources.tables import table
 
@@ -17,7 +18,7 @@ DF_MAX = 200
 
 
 def shared(spark, d):
-    return R.kept(spark, d, "shared", lambda: A.shared_terms(R.docs_of(spark, d), R.questions(spark, d), R.gold(spark, d)))
+    return kept(spark, d, "shared", lambda: A.shared_terms(R.docs_of(spark, d), R.questions(spark, d), R.gold(spark, d)))
 
 
 def shared_rare_terms(spark, d):
@@ -125,7 +126,7 @@ def nav_share(spark, d):
 
 
 def judged(spark, d):
-    return R.kept(spark, d, "pools", lambda: J.pools(R.gold(spark, d), R.runs(spark, d).filter("variant = 'bm25'")))
+    return kept(spark, d, "pools", lambda: J.pools(R.gold(spark, d), R.runs(spark, d).filter("variant = 'bm25'")))
 
 
 def judge_pools(spark, d):

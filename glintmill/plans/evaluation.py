@@ -8,6 +8,7 @@ from glintmill.operators import bootstrap as B
 from glintmill.operators import evaluation as E
 from glintmill.plans import retrieval as R
 from glintmill.plans import sql
+from glintmill.sources.holding import kept
 
 VARIANTS = ("bm25", "dense", "hybrid")
 SEEDS = tuple(B.SEED + i for i in range(8))
@@ -15,7 +16,7 @@ SEEDS = tuple(B.SEED + i for i in range(8))
 
 def scores(spark, d):
     surface = R.docs_of(spark, d).filter("source IN ('src0', 'src1')")
-    return R.kept(spark, d, "scores", lambda: E.score_rows(R.runs(spark, d), R.gold(spark, d), R.questions(spark, d), surface))
+    return kept(spark, d, "scores", lambda: E.score_rows(R.runs(spark, d), R.gold(spark, d), R.questions(spark, d), surface))
 
 
 def diffs(spark, d):

@@ -63,7 +63,7 @@ SQL = {
     "plural_fold": f"WITH {sql.VOCAB} SELECT term, folded FROM fold WHERE term <> folded",
     "document_frequency": f"WITH {sql.FREQUENCY} SELECT term, df FROM freq",
     "text_hashes": f"SELECT doc_id, sha256(text) AS sha256, sha256({sql.NORMALISED}) AS sha256_norm FROM documents",
-    "duplicate_groups": f"SELECT h AS sha256_norm, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, sha256({sql.NORMALISED}) AS h FROM documents) GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_groups": f"WITH h AS (SELECT doc_id, sha256({sql.NORMALISED}) AS sha256_norm FROM documents) SELECT sha256_norm, count(*) OVER w AS n, min(doc_id) OVER w AS first_id, doc_id FROM h WINDOW w AS (PARTITION BY sha256_norm) QUALIFY n > 1",
     "corpus_fingerprint": f"WITH a AS (SELECT doc_id AS k, sha256(text) AS h FROM documents), b AS ({_LEVEL.format('a')}), c AS ({_LEVEL.format('b')}), e AS ({_LEVEL.format('c')}) SELECT sha256(string_agg(h, '' ORDER BY k, h)) AS corpus_sha256 FROM e",
     "size_skew": "WITH s AS (SELECT doc_id, length(text) AS n FROM documents), t AS (SELECT sum(n)::BIGINT AS top_chars FROM (SELECT n FROM s ORDER BY n DESC, doc_id LIMIT 3)) SELECT (SELECT sum(n)::BIGINT FROM s) AS total_chars, top_chars, round(top_chars / (SELECT sum(n) FROM s), 6) AS share FROM t",
     "page_title": "SELECT doc_id, coalesce(regexp_replace(substring(list_filter(string_split(CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || '#no' || chr(10) || '# ' || CASE WHEN doc_id % 2 = 0 THEN ' ' || chr(9) || ' ' ELSE '' END || source || ' ' || chr(10) || '# second' || chr(10) ELSE '' END || text, chr(10)), lambda x: x LIKE '# %')[1], 3), '^\\s+|\\s+$', '', 'g'), '(untitled)') AS title FROM documents",

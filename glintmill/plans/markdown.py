@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from glintmill.operators import retrieval as R
 from glintmill.operators import segment as S
 from glintmill.plans import sql
-from glintmill.plans.retrieval import docs_of, kept, questions
+from glintmill.plans.retrieval import docs_of, questions
+from glintmill.sources.holding import kept
 
 TOP = 20
 #: Parts of a document: (which ids have it, what it is). Column names stand for themselves, all else is text as it is.

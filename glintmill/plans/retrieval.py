@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintmill.functions import text as T
 from glintmill.operators import retrieval as R
 from glintmill.operators.evaluation import gold_by_containment
+from glintmill.operators.ordered import deep_ranks
 from glintmill.plans import sql
-from glintmill.sources.tables import beside, table
-
-_kept: dict[tuple, DataFrame] = {}
-
-
-def kept(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """A frame that several queries of one session share, kept in memory and on disk; lost parts are made again."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _kept:
-        _kept[key] = make().persist()
-    return _kept[key]
-
+from glintmill.sources.holding import kept
+from glintmill.sources.tables import table
 
 def questions(spark, d, degraded: bool = False) -> DataFrame:
     terms = T.degraded_terms(F.col("text")) if degraded else T.terms(F.col("text"))
@@ -32,7 +23,7 @@ def docs_of(spark, d) -> DataFrame:
 
 
 def gold(spark, d) -> DataFrame:
-    return kept(spark, d, "gold", lambda: gold_by_containment(docs_of(spark, d), beside(questions(spark, d).select("item_id", "question"))))
+    return kept(spark, d, "gold", lambda: gold_by_containment(docs_of(spark, d), questions(spark, d).select("item_id", "question")))
 
 
 def keyword_scores(spark, d, degraded: bool) -> DataFrame:
@@ -44,16 +35,16 @@ def keyword_top(spark, d, degraded: bool, top: int = 20) -> DataFrame:
     return R.ranked(R.with_unscored(keyword_scores(spark, d, degraded), q, docs_of(spark, d), top), "item_id", "doc_id", top)
 
 
-def fused(spark, d) -> DataFrame:
+def fused(spark, d, degraded: bool) -> DataFrame:
     """Both lists at full depth, then fused: cutting them first would change the result."""
-    q, docs = questions(spark, d, True), docs_of(spark, d)
+    q, docs = questions(spark, d, degraded), docs_of(spark, d)
 
     def make():
-        dense = R.ranked(R.dense_by_terms(docs, q), "item_id", "doc_id")
-        keyword = R.ranked(R.full_depth(keyword_scores(spark, d, True), q, docs), "item_id", "doc_id")
+        dense = deep_ranks(R.dense_by_terms(docs, q), "item_id", "doc_id")
+        keyword = deep_ranks(R.full_depth(keyword_scores(spark, d, degraded), q, docs), "item_id", "doc_id")
         return R.rrf([dense, keyword])
 
-    return kept(spark, d, "fused", make)
+    return kept(spark, d, f"fused-{degraded}", make)
 
 
 def runs(spark, d) -> DataFrame:
@@ -61,7 +52,7 @@ def runs(spark, d) -> DataFrame:
 
     def make():
         q, docs = questions(spark, d, True), docs_of(spark, d)
-        each = {"bm25": keyword_top(spark, d, True), "dense": R.ranked(R.dense_by_terms(docs, q), "item_id", "doc_id", 20), "hybrid": R.ranked(fused(spark, d), "item_id", "doc_id", 20)}
+        each = {"bm25": keyword_top(spark, d, True), "dense": R.ranked(R.dense_by_terms(docs, q), "item_id", "doc_id", 20), "hybrid": R.ranked(fused(spark, d, True), "item_id", "doc_id", 20)}
         out = None
         for variant, df in each.items():
             df = df.select(F.lit(variant).alias("variant"), "item_id", "doc_id", "score", "rank")
@@ -99,7 +90,7 @@ def vector_norms(spark, d):
 def dense_hits(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    return R.ranked(R.dense(e.filter("vec_id % 10 <> 0").select("vec_id", "embedding"), q), "q", "vec_id", 20)
+    return R.ranked(R.dense(e.select("vec_id", "embedding"), q).filter("q <> vec_id"), "q", "vec_id", 20)
 
 
 def dense_topk(spark, d):
@@ -116,17 +107,16 @@ def hash_embed(spark, d):
 
 
 def rrf_scores(spark, d):
-    return fused(spark, d).select("item_id", "doc_id", F.round("score", 9).alias("score"))
+    return fused(spark, d, False).select("item_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 def hybrid_topk(spark, d):
-    return runs(spark, d).filter("variant = 'hybrid'").select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+    return R.ranked(fused(spark, d, False), "item_id", "doc_id", 20).select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 def gold_depth(spark, d):
-    q, docs = questions(spark, d, True), docs_of(spark, d)
-    deep = R.ranked(R.full_depth(keyword_scores(spark, d, True), q, docs), "item_id", "doc_id")
-    return deep.join(gold(spark, d), ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("depth"))
+    deep = R.depth_of(keyword_scores(spark, d, True), docs_of(spark, d), gold(spark, d))
+    return deep.groupBy("item_id").agg(F.min("rank").alias("depth"))
 
 
 def ranking_drift(spark, d):
@@ -136,12 +126,13 @@ def ranking_drift(spark, d):
 def index_consistency(spark, d):
     v, t = table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), docs_of(spark, d).select(F.col("doc_id").alias("id"))
     missing, extra = t.join(v, "id", "left_anti").agg(F.count("*").alias("without_vector")), v.join(t, "id", "left_anti").agg(F.count("*").alias("without_document"))
-    return v.agg(F.count("*").alias("n_vectors")).crossJoin(t.agg(F.count("*").alias("n_documents"))).crossJoin(missing).crossJoin(extra)
+    sizes = table(spark, d, "embeddings").agg(F.countDistinct(F.size("embedding")).alias("n_lengths"))
+    return v.agg(F.count("*").alias("n_vectors")).crossJoin(sizes).crossJoin(t.agg(F.count("*").alias("n_documents"))).crossJoin(missing).crossJoin(extra)
 
 
 QUERIES = [bm25_stats, bm25_idf, bm25_scores, bm25_topk, vector_norms, dense_topk, doc_collapse, hash_embed, rrf_scores, hybrid_topk, gold_depth, ranking_drift, index_consistency]
 _B = sql.bm25(sql.terms("text"))
-_DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT q.vec_id AS q, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0),
+_DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT q.vec_id AS q, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id <> q.vec_id),
   hits AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id))::INT AS rank FROM ds QUALIFY rank <= 20)"""
 SQL = {
     "bm25_stats": f"WITH {_B} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM bdf) AS n_terms, (SELECT count(*) FROM post) AS n_postings FROM st",
@@ -152,10 +143,10 @@ SQL = {
     "dense_topk": f"WITH {_DENSE} SELECT q, rank, vec_id, round(score, 6) AS score FROM hits",
     "doc_collapse": f"WITH {_DENSE}, b AS (SELECT q, vec_id // 100 AS doc, vec_id, rank AS hit_rank FROM hits QUALIFY row_number() OVER (PARTITION BY q, vec_id // 100 ORDER BY rank) = 1) SELECT q, (row_number() OVER (PARTITION BY q ORDER BY hit_rank))::INT AS rank, doc, vec_id, hit_rank FROM b QUALIFY rank <= 3",
     "hash_embed": f"WITH {sql.hashed()} SELECT doc_id, bucket::INT AS bucket, round(c / sqrt(square::DOUBLE), 6) AS value FROM hb JOIN hs USING (doc_id)",
-    "rrf_scores": f"WITH {sql.RUNS} SELECT item_id, doc_id, round(score, 9) AS score FROM fu",
-    "hybrid_topk": f"WITH {sql.RUNS} SELECT item_id, rank::INT AS rank, doc_id, round(score, 9) AS score FROM rh WHERE rank <= 20",
+    "rrf_scores": f"WITH {sql.fused(sql.terms('text'))} SELECT item_id, doc_id, round(score, 9) AS score FROM fu",
+    "hybrid_topk": f"WITH {sql.fused(sql.terms('text'))} SELECT item_id, rank::INT AS rank, doc_id, round(score, 9) AS score FROM rh WHERE rank <= 20",
     "gold_depth": f"WITH {sql.bm25(sql.degraded('text'))}, {sql.ranked('sc', 'r')}, {sql.GOLD} SELECT item_id, min(rank)::INT AS depth FROM r JOIN gold USING (item_id, doc_id) GROUP BY 1",
     "ranking_drift": f"""WITH a AS (WITH {_B}, {sql.ranked('sc', 'r')} SELECT item_id, rank, doc_id FROM r WHERE rank <= 20), b AS (WITH {sql.bm25(sql.degraded('text'))}, {sql.ranked('sc', 'r')} SELECT item_id, rank, doc_id FROM r WHERE rank <= 20)
       SELECT item_id, min(rank) FILTER (a.doc_id IS DISTINCT FROM b.doc_id)::INT AS first_difference FROM a FULL JOIN b USING (item_id, rank) GROUP BY 1""",
-    "index_consistency": "SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_document",
+    "index_consistency": "SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(DISTINCT len(embedding)) FROM embeddings) AS n_lengths, (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_document",
 }

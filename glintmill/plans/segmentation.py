@@ -8,7 +8,8 @@ from glintmill.functions import markup as M
 from glintmill.functions import text as T
 from glintmill.operators import segment as S
 from glintmill.plans import sql
-from glintmill.plans.retrieval import docs_of, kept
+from glintmill.plans.retrieval import docs_of
+from glintmill.sources.holding import kept
 from glintmill.sources.tables import table
 
 

@@ -51,8 +51,12 @@ def ranked(scores: str, name: str) -> str:
     return f"{name} AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {scores})"
 
 
-RUNS = f"""{bm25(degraded('text'))}, {dense(degraded('text'))}, {ranked('sc', 'rb')}, {ranked('de', 'rd')},
-  fu AS (SELECT item_id, doc_id, sum(floor(1e15 / (60 + rank) + 0.5)::BIGINT)::DOUBLE / 1e15 AS score FROM (SELECT * FROM rb UNION ALL SELECT * FROM rd) GROUP BY ALL), {ranked('fu', 'rh')},
+def fused(questions: str) -> str:
+    return f"""{bm25(questions)}, {dense(questions)}, {ranked('sc', 'rb')}, {ranked('de', 'rd')},
+      fu AS (SELECT item_id, doc_id, sum(floor(1e15 / (60 + rank) + 0.5)::BIGINT)::DOUBLE / 1e15 AS score FROM (SELECT * FROM rb UNION ALL SELECT * FROM rd) GROUP BY ALL), {ranked('fu', 'rh')}"""
+
+
+RUNS = f"""{fused(degraded('text'))},
   runs AS (SELECT 'bm25' AS variant, * FROM rb WHERE rank <= 20 UNION ALL SELECT 'dense', * FROM rd WHERE rank <= 20 UNION ALL SELECT 'hybrid', * FROM rh WHERE rank <= 20)"""
 GOLD = "gold AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '')"
 SCORES = f"""{RUNS}, {GOLD}, ng AS (SELECT item_id, count(*) AS n_gold FROM gold GROUP BY 1),
