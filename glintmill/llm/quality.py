@@ -122,18 +122,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     for label in (0, 1):
         part = y.filter(F.col("quality") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.union(part)
-    rows = d.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_rows rows
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "text", F.col("quality").cast("int").alias("quality"), F.octet_length("text").alias("n"))
-    # A document's id may be repeated: again the smallest hashes, then as many bytes as are allowed.
-    rows = common.materialise(rows.orderBy("h", "text").limit(2 * sample_rows).select("*", F.xxhash64("text").alias("t")), "labelled")
+    # At most 2 * sample_rows ids. Which of their texts are taken is settled by hashes and sizes, so that only those come to the driver.
+    rows = d.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.col("quality").cast("int").alias("quality"), F.octet_length("text").alias("n"), "text")
     left, taken = {0: sample_bytes, 1: sample_bytes}, []
-    for r in rows.select("h", "t", "quality", "n").orderBy("h", "t").collect():
+    for r in rows.select("h", "t", "quality", "n").distinct().orderBy("h", "t", "quality").limit(2 * sample_rows).collect():
         if r.n <= left[r.quality]:
             left[r.quality] -= r.n
             taken.append((r.h, r.t, r.quality))
-    if len(taken) < rows.count():
-        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, "h long, t long, quality int").distinct()), ["h", "t", "quality"], "left_semi")
-    return fit([(r.text, r.quality) for r in rows.orderBy("h", "text").collect()])
+    if not taken:
+        return fit([])
+    wanted = F.broadcast(d.sparkSession.createDataFrame(taken, "h long, t long, quality int"))
+    texts = rows.join(wanted, ["h", "t", "quality"], "left_semi").groupBy("h", "t", "quality").agg(F.first("text").alias("text")).collect()
+    return fit([(r.text, r.quality) for r in sorted(texts, key=lambda r: (r.h, r.text))])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -521,7 +521,7 @@ def test_scores_are_brute_force(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     said = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 5}
-    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "text").collect() if r.doc_id in said]
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "text").collect() if r.doc_id in said]
     model = quality.fit([(text[i], said[i]) for i in order])
     with_words = [i for i in order if text[i].strip()]
     sorts = {y: [text[i] for i in with_words if said[i] == y] for y in (0, 1)}
