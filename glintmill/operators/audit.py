@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintmill.operators import guards
 from glintmill.operators.lexical import anchors, candidates, document_frequency, plural_fold, term_rows, vocabulary
 from glintmill.operators.ordered import ranked_in_buckets, running_total
 from glintmill.sources.tables import beside
@@ -78,8 +79,9 @@ def find(docs: DataFrame, needle: str) -> DataFrame:
     return docs.filter(F.contains(F.lower("text"), F.lit(needle.lower()))).select("doc_id", snippet(F.col("text"), needle).alias("snippet"))
 
 
-def gold_violations(entries: DataFrame, chunk_ids: DataFrame) -> DataFrame:
-    """(id, violation) of a gold set: answerable means chunks, an answer, an author; unanswerable means none, and evidence."""
+def gold_violations(entries: DataFrame, chunk_ids: DataFrame, expected: int | None = None) -> DataFrame:
+    """(id, violation) of a gold set: answerable means chunks, an answer, an author; unanswerable means none, and evidence; ids are Q01, Q02 and so on
+    in the order of the file, ``expected`` of them."""
     checks = [
         (F.col("answerable") & (F.size("gold_chunks") == 0), "answerable without gold"), (F.col("answerable") & F.col("gold_answer").isNull(), "answerable without an answer"),
         (F.col("answerable") & F.coalesce(F.col("answer_author") == "none", F.lit(True)), "answerable without an author"), (~F.col("answerable") & (F.size("gold_chunks") > 0), "unanswerable with gold"),
@@ -87,7 +89,19 @@ def gold_violations(entries: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     named = entries.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks]))).alias("violation"))
     unknown = entries.select("id", F.explode("gold_chunks").alias("chunk_id")).join(chunk_ids, "chunk_id", "left_anti").select("id", F.concat(F.lit("unknown chunk "), "chunk_id").alias("violation"))
     repeated = entries.groupBy("id").count().filter("count > 1").select("id", F.lit("repeated id").alias("violation"))
-    return named.union(unknown).union(repeated)
+    due = F.concat(F.lit("Q"), F.lpad((F.col("pos") + 1).cast("string"), F.greatest(F.lit(2), F.length((F.col("pos") + 1).cast("string"))), F.lit("0")))
+    order = entries.filter(F.col("id") != due).select("id", F.concat(F.lit("stands where "), due, F.lit(" is due")).alias("violation"))
+    out = named.union(unknown).union(repeated).union(order)
+    if expected is not None:
+        counted = entries.agg(F.count("*").alias("n")).filter(F.col("n") != expected)
+        out = out.union(counted.select(F.lit("").alias("id"), F.concat(F.col("n").cast("string"), F.lit(f" entries, not {expected}")).alias("violation")))
+    return out
+
+
+def checked_gold(entries: DataFrame, chunk_ids: DataFrame, expected: int | None = None) -> DataFrame:
+    """``entries``, refused with the first violations if there are any."""
+    guards.none_of(gold_violations(entries, chunk_ids, expected), "the gold set")
+    return entries
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glintmill.operators.lexical import anchors, candidates
 from glintmill.sources.tables import beside
 
+CUT = 10
 METRICS = ("recall_3", "recall_10", "precision_3", "reciprocal_rank")
 
 
@@ -26,7 +27,7 @@ def gold_by_containment(docs: DataFrame, questions: DataFrame) -> DataFrame:
     return with_words.union(docs.join(bare, F.col("text").contains(F.col("question"))).select("item_id", "doc_id")).distinct()
 
 
-def score_rows(rankings: DataFrame, gold: DataFrame, questions: DataFrame, surface: DataFrame, cut: int = 10) -> DataFrame:
+def score_rows(rankings: DataFrame, gold: DataFrame, questions: DataFrame, surface: DataFrame, cut: int = CUT) -> DataFrame:
     """One row a variant and question: n_gold, recall, precision, first relevant rank, reciprocal rank, surface hits.
 
     n_gold comes from the gold, not from what was found, so a question without hits isn't one without gold.

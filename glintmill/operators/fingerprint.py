@@ -19,12 +19,17 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     return h.join(g, "sha256_norm").select("sha256_norm", "n", "first_id", "doc_id")
 
 
-def corpus_fingerprint(docs: DataFrame) -> DataFrame:
-    """One hash of all texts in the order of their ids: hashes of hashes over 1024 ids at a time, so no task holds the corpus."""
-    level = docs.select(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("h"))
+def merkle(rows: DataFrame, name: str) -> DataFrame:
+    """One hash of rows (k, h) in the order of k: hashes of hashes over 1024 keys at a time, so no task holds them all."""
+    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256)
     for _ in range(3):
-        level = level.groupBy(F.floor(F.col("k") / 1024).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h")).select(F.col("b").alias("k"), "h")
-    return level.groupBy().agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_sha256"))
+        rows = rows.groupBy(F.floor(F.col("k") / 1024).alias("b")).agg(together.alias("h")).select(F.col("b").alias("k"), "h")
+    return rows.groupBy().agg(together.alias(name))
+
+
+def corpus_fingerprint(docs: DataFrame) -> DataFrame:
+    """One hash of all texts in the order of their ids."""
+    return merkle(docs.select(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("h")), "corpus_sha256")
 
 
 def size_skew(docs: DataFrame, top: int = 3) -> DataFrame:

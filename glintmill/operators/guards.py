@@ -28,6 +28,13 @@ def cutoff(k: int, length: int) -> None:
         raise GuardError(f"k is {k}, the list has {length}")
 
 
+def lists_reach(rankings: DataFrame, k: int, keys: tuple[str, ...] = ("variant", "item_id")) -> None:
+    """Raises if a ranked list has fewer than ``k`` entries: a cutoff beyond its end would count what isn't there as misses."""
+    if k <= 0:
+        raise GuardError(f"k is {k}")
+    none_of(rankings.groupBy(*keys).agg(F.max("rank").alias("n")).filter(F.col("n") < k), f"lists of under {k}")
+
+
 def within_tokens(chunks: DataFrame, limit: int) -> None:
     none_of(chunks.filter(F.col("n_tokens") > limit), f"chunks of over {limit} tokens")
 

@@ -17,14 +17,18 @@ def pools(gold: DataFrame, ranking: DataFrame, seed: int = SEED, least: int = LE
 
     A question without gold has no pool; one whose ranking has too few others raises when read.
     """
+    gold = gold.select("item_id", "doc_id").distinct()
     n = gold.groupBy("item_id").agg(F.count("*").alias("n_gold"))
     q, d = F.col("item_id"), F.col("doc_id")
     others = ranking.select("item_id", "doc_id").join(gold, ["item_id", "doc_id"], "left_anti").join(n, "item_id")
     w = Window.partitionBy("item_id")
-    drawn = others.withColumn("i", F.row_number().over(w.orderBy(_draw(seed, q, d), "doc_id"))).withColumn("n", F.count("*").over(w))
     want = F.greatest(F.lit(least), F.col("n_gold"))
-    drawn = drawn.withColumn("ok", F.when(F.col("n") >= want, True).otherwise(F.raise_error(F.lit("too few others to draw from")).cast("boolean"))).filter(F.col("ok") & (F.col("i") <= want))
+    drawn = others.withColumn("i", F.row_number().over(w.orderBy(_draw(seed, q, d), "doc_id"))).filter(F.col("i") <= want)
+    # Counted from the gold: a ranking without any other has no row to raise at.
+    enough = n.join(others.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
+    ok = F.when(F.coalesce("n", F.lit(0)) >= want, True).otherwise(F.raise_error(F.concat(F.lit("too few others to draw from: "), F.col("item_id").cast("string"))).cast("boolean"))
     both = gold.select("item_id", "doc_id", F.lit(True).alias("gold")).union(drawn.select("item_id", "doc_id", F.lit(False)))
+    both = both.join(enough.select("item_id", ok.alias("ok")), "item_id").filter("ok")
     return both.withColumn("place", F.row_number().over(w.orderBy(_draw(seed, "shuffle", q, d), "doc_id"))).select("item_id", "place", "doc_id", "gold")
 
 

@@ -251,6 +251,21 @@ def stratified(rows: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
+def inspected(records: DataFrame, documents: tuple[str, ...], markers: tuple[str, ...], seed: int = 0) -> DataFrame:
+    """Chunk records for reading, one of each bucket by a seeded hash: block types, the named documents, and chunks whose raw text has a marker."""
+    kinds = F.array(F.concat(F.lit("block_type="), "block_type"))
+    docs = F.when(F.col("doc_id").isin(*documents), F.array(F.concat(F.lit("document "), "doc_id"))).otherwise(F.array().cast("array<string>"))
+    marked = F.array_compact(F.array(*[F.when(F.col("text_raw").contains(m), F.lit(f"{m}> region")) for m in markers]))
+    return stratified(records.withColumn("bucket", F.explode(F.concat(kinds, docs, marked))), "bucket", "id", seed)
+
+
+def document_share(chunks: DataFrame, top: int = 3) -> DataFrame:
+    """How much of all chunks the documents of most chunks have."""
+    per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    largest = per.orderBy(F.desc("n"), "doc_id").limit(top).agg(F.sum("n").alias("top_chunks"))
+    return per.agg(F.sum("n").alias("n_chunks")).crossJoin(largest).withColumn("share", F.round(F.col("top_chunks") / F.col("n_chunks"), 6))
+
+
 def systematic(rows: DataFrame, stratum: str, key: str, size: int) -> DataFrame:
     """Every (n div size)-th row of a stratum in the order of ``key``, ``size`` at most."""
     counts = rows.groupBy(stratum).agg(F.greatest(F.lit(1), F.expr(f"count(*) div {size}")).alias("step"))

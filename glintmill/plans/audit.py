@@ -97,7 +97,7 @@ def gold_counts(spark, d):
 
 def gold_violations(spark, d):
     ids = table(spark, d, "region").select(F.concat(F.lit("doc-0"), F.col("r_regionkey").cast("string"), F.lit(":c001")).alias("chunk_id"))
-    return A.gold_violations(S.parsed_gold(gold_files(spark, d)), ids)
+    return A.gold_violations(S.parsed_gold(gold_files(spark, d)), ids, 6)
 
 
 def surface_docs(spark, d):
@@ -198,7 +198,7 @@ SQL = {
       CASE WHEN r_regionkey = 1 THEN 'nothing says so' END AS not_covered_because, 'human' AS question_author, CASE WHEN {_K} THEN 'human' ELSE 'none' END AS answer_author FROM region""",
     "gold_docs": f"SELECT {_ID} AS id, CASE WHEN {_K} THEN 'doc-0' || r_regionkey ELSE '' END AS gold_docs FROM region",
     "gold_counts": f"SELECT count(*) AS n, count(*) FILTER ({_K}) AS answerable, 2 * count(*) FILTER ({_K}) AS gold_chunks, count(*) FILTER (NOT ({_K})) AS no_author FROM region",
-    "gold_violations": f"SELECT {_ID} AS id, 'unknown chunk doc-0' || r_regionkey || ':c002' AS violation FROM region WHERE {_K} UNION ALL SELECT {_ID}, 'unanswerable without evidence' FROM region WHERE NOT ({_K}) AND r_regionkey <> 1",
+    "gold_violations": f"SELECT {_ID} AS id, 'unknown chunk doc-0' || r_regionkey || ':c002' AS violation FROM region WHERE {_K} UNION ALL SELECT {_ID}, 'unanswerable without evidence' FROM region WHERE NOT ({_K}) AND r_regionkey <> 1 UNION ALL SELECT '', count(*) || ' entries, not 6' FROM region HAVING count(*) <> 6",
     "surface_docs": "SELECT 'doc-' || lpad(n_nationkey::VARCHAR, 2, '0') AS doc_id, 'surface/' || lower(n_name) AS slug FROM nation WHERE n_regionkey = 1",
     "link_census": "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages), p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS href FROM pages) SELECT href, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l WHERE href NOT IN (SELECT href FROM p) GROUP BY 1",
     "link_density": f"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://(?:m\\.)?[^/]*\\.(\\w+)(?:/|$)', 1) AS tld, len(regexp_extract_all(html, '<a href="')) AS links, {sql.n_tokens("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS tokens FROM pages), r AS (SELECT tld, 100 * links / tokens AS rate FROM p WHERE tokens > 0)

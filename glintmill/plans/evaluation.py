@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glintmill.operators import bootstrap as B
 from glintmill.operators import evaluation as E
+from glintmill.operators import guards
 from glintmill.plans import retrieval as R
 from glintmill.plans import sql
 from glintmill.sources.holding import kept
@@ -16,7 +17,12 @@ SEEDS = tuple(B.SEED + i for i in range(8))
 
 def scores(spark, d):
     surface = R.docs_of(spark, d).filter("source IN ('src0', 'src1')")
-    return kept(spark, d, "scores", lambda: E.score_rows(R.runs(spark, d), R.gold(spark, d), R.questions(spark, d), surface))
+
+    def make():
+        guards.lists_reach(R.runs(spark, d), E.CUT)
+        return E.score_rows(R.runs(spark, d), R.gold(spark, d), R.questions(spark, d), surface)
+
+    return kept(spark, d, "scores", make)
 
 
 def diffs(spark, d):
@@ -78,6 +84,8 @@ def bootstrap_seeds(spark, d):
 
 def cluster_bootstrap(spark, d):
     """Questions in pairs, each pair drawn as one."""
+    members = R.questions(spark, d).select(F.col("item_id").alias("member"))
+    guards.exact_cover(members.select(F.expr("member div 2").alias("cluster"), "member"), members)
     return B.intervals(values(spark, d, "item_id div 2"), ["variant", "metric"]).drop("seed", "excludes_zero")
 
 

@@ -61,6 +61,14 @@ def chunk_lookup(spark, d):
     return by_id.unionByName(by_doc).select("id", "doc_id", "char_start", "char_end", "chars_raw", "tokens_embed", "block_type", "sha256", "sha256_norm")
 
 
+def chunk_share(spark, d):
+    return S.document_share(chunks(spark, d))
+
+
+def chunk_sample(spark, d):
+    return S.inspected(S.chunk_records(chunks(spark, d)), ("7", "14"), ("<Tab", "<Step")).select("bucket", "id", "tokens_embed")
+
+
 def chunk_bm25_topk(spark, d):
     docs, q = embedded(spark, d), questions(spark, d)
     top = R.ranked(R.with_unscored(R.bm25(docs, q), q, docs, TOP), "item_id", "doc_id", TOP)
@@ -72,7 +80,7 @@ def chunk_dense_topk(spark, d):
     return R.ranked(R.dense_by_terms(docs, q), "item_id", "doc_id", TOP).select("item_id", "rank", F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
-QUERIES = [doc_units, markdown_chunks, chunk_types, chunk_lookup, chunk_bm25_topk, chunk_dense_topk]
+QUERIES = [doc_units, markdown_chunks, chunk_types, chunk_share, chunk_sample, chunk_lookup, chunk_bm25_topk, chunk_dense_topk]
 
 
 def _literal(text: str) -> str:
@@ -132,6 +140,10 @@ SQL = {
     "chunk_types": f"WITH RECURSIVE {_CHUNKS} SELECT block_type, count(*) AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens, max(n_tokens) AS most, round(avg(n_tokens), 6) AS mean FROM ch GROUP BY 1",
     "chunk_lookup": f"""WITH RECURSIVE {_CHUNKS} SELECT chunk_id AS id, doc_id::VARCHAR AS doc_id, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, length(raw) AS chars_raw, n_tokens AS tokens_embed, block_type, sha256(raw) AS sha256, sha256({_NORM}) AS sha256_norm
       FROM ch WHERE chunk_id IN ('0:c000', '14:c001', '30:c000') OR doc_id = 7""",
+    "chunk_share": f"WITH RECURSIVE {_CHUNKS}, per AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY 1), top AS (SELECT n FROM per ORDER BY n DESC, doc_id LIMIT 3) SELECT (SELECT sum(n)::BIGINT FROM per) AS n_chunks, sum(n)::BIGINT AS top_chunks, round(sum(n) / (SELECT sum(n) FROM per), 6) AS share FROM top",
+    "chunk_sample": f"""WITH RECURSIVE {_CHUNKS}, bk AS (SELECT 'block_type=' || block_type AS bucket, chunk_id AS id, n_tokens FROM ch UNION ALL SELECT 'document ' || doc_id, chunk_id, n_tokens FROM ch WHERE doc_id IN (7, 14)
+      UNION ALL SELECT m || '> region', chunk_id, n_tokens FROM ch, (SELECT unnest(['<Tab', '<Step']) AS m) WHERE contains(raw, m))
+      SELECT bucket, id, n_tokens AS tokens_embed FROM bk QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY md5('0:' || id), id) = 1""",
     "chunk_bm25_topk": _TOPK(sql.bm25(sql.terms("text"), docs="emb"), "sc"),
     "chunk_dense_topk": _TOPK(sql.dense(sql.terms("text"), docs="emb"), "de"),
 }

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintmill.functions import text as T
+from glintmill.operators import provenance as P
 from glintmill.operators import retrieval as R
 from glintmill.operators.evaluation import gold_by_containment
+from glintmill.operators.fingerprint import corpus_fingerprint
 from glintmill.operators.ordered import deep_ranks
 from glintmill.plans import sql
 from glintmill.sources.holding import kept
@@ -130,8 +132,20 @@ def index_consistency(spark, d):
     return v.agg(F.count("*").alias("n_vectors")).crossJoin(sizes).crossJoin(t.agg(F.count("*").alias("n_documents"))).crossJoin(missing).crossJoin(extra)
 
 
-QUERIES = [bm25_stats, bm25_idf, bm25_scores, bm25_topk, vector_norms, dense_topk, doc_collapse, hash_embed, rrf_scores, hybrid_topk, gold_depth, ranking_drift, index_consistency]
+def vector_fingerprint(spark, d):
+    return P.vector_fingerprint(table(spark, d, "embeddings"))
+
+
+def index_manifest(spark, d):
+    """The manifest of an index of all documents and vectors, but for what depends on the machine."""
+    docs = docs_of(spark, d)
+    corpus = corpus_fingerprint(docs).first().corpus_sha256
+    return P.manifest(corpus, docs, table(spark, d, "embeddings"), "hashed-terms").select("corpus_sha256", "vectors_sha256", "model", "embedding_dim", "normalized", "token_limit", "n_chunks", "n_vectors")
+
+
+QUERIES = [bm25_stats, bm25_idf, bm25_scores, bm25_topk, vector_norms, dense_topk, doc_collapse, hash_embed, rrf_scores, hybrid_topk, gold_depth, ranking_drift, index_consistency, vector_fingerprint, index_manifest]
 _B = sql.bm25(sql.terms("text"))
+_HASHED_VECTORS = f"SELECT vec_id AS k, sha256(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * {P.STEPS} + 0.5)::BIGINT::VARCHAR), ',')) AS h FROM embeddings"
 _DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT q.vec_id AS q, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id <> q.vec_id),
   hits AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id))::INT AS rank FROM ds QUALIFY rank <= 20)"""
 SQL = {
@@ -148,5 +162,9 @@ SQL = {
     "gold_depth": f"WITH {sql.bm25(sql.degraded('text'))}, {sql.ranked('sc', 'r')}, {sql.GOLD} SELECT item_id, min(rank)::INT AS depth FROM r JOIN gold USING (item_id, doc_id) GROUP BY 1",
     "ranking_drift": f"""WITH a AS (WITH {_B}, {sql.ranked('sc', 'r')} SELECT item_id, rank, doc_id FROM r WHERE rank <= 20), b AS (WITH {sql.bm25(sql.degraded('text'))}, {sql.ranked('sc', 'r')} SELECT item_id, rank, doc_id FROM r WHERE rank <= 20)
       SELECT item_id, min(rank) FILTER (a.doc_id IS DISTINCT FROM b.doc_id)::INT AS first_difference FROM a FULL JOIN b USING (item_id, rank) GROUP BY 1""",
+    "vector_fingerprint": f"WITH {sql.merkle(_HASHED_VECTORS, 'vectors_sha256', 'mv')} SELECT * FROM mv",
+    "index_manifest": f"""WITH {sql.merkle(_HASHED_VECTORS, 'vectors_sha256', 'mv')}, {sql.merkle('SELECT doc_id AS k, sha256(text) AS h FROM documents', 'corpus_sha256', 'mc')},
+      n AS (SELECT max(len(embedding))::INT AS embedding_dim, coalesce(bool_and(abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1e-4), false) AS normalized, count(*) AS n_vectors FROM embeddings)
+      SELECT corpus_sha256, vectors_sha256, 'hashed-terms' AS model, embedding_dim, normalized, 254 AS token_limit, (SELECT count(*) FROM documents) AS n_chunks, n_vectors FROM mc, mv, n""",
     "index_consistency": "SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(DISTINCT len(embedding)) FROM embeddings) AS n_lengths, (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_document",
 }

@@ -100,3 +100,9 @@ def cells(line: str) -> str:
     coded = f"array_to_string(list_transform(string_split({inner}, '`'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '|', chr(1)) ELSE x END), '`')"
     clean = strip("replace(regexp_replace(" + strip("replace(c, chr(1), '|')") + ", ' {2,}', ' ', 'g'), '`', '')")
     return f"list_transform(string_split({coded}, '|'), lambda c: {clean})"
+
+
+def merkle(rows: str, column: str, out: str) -> str:
+    """CTEs up to ``out``, one row: the hash of rows (k, h) by hashes of hashes."""
+    level = lambda source: f"SELECT b AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM (SELECT *, k // 1024 AS b FROM {source}) GROUP BY b"
+    return f"{out}0 AS ({rows}), {out}1 AS ({level(out + '0')}), {out}2 AS ({level(out + '1')}), {out}3 AS ({level(out + '2')}), {out} AS (SELECT sha256(string_agg(h, '' ORDER BY k, h)) AS {column} FROM {out}3)"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glintmill.functions import markup as M
 from glintmill.functions import text as T
-from glintmill.operators import audit, bootstrap, evaluation, guards, judging, lexical, segment
+from glintmill.operators import audit, bootstrap, evaluation, guards, judging, lexical, provenance, segment
 from glintmill.operators import retrieval as R
 from glintmill.sources import sinks
 from glintmill.sources import tables as S
@@ -299,6 +299,14 @@ def test_pools_hold_all_gold_and_enough_others(spark):
         judging.with_text(pool, docs(spark, ["x"])).collect()
 
 
+def test_a_question_whose_ranking_is_all_gold_raises(spark):
+    gold = spark.createDataFrame([(1, 10), (2, 20)], "item_id long, doc_id long")
+    ranking = spark.createDataFrame([(1, 10), *[(2, d) for d in range(20, 26)]], "item_id long, doc_id long")
+    with pytest.raises(Exception, match="too few"):
+        judging.pools(gold, ranking).collect()
+    assert judging.pools(gold.filter("item_id = 2"), ranking).count() == 3
+
+
 def test_majority(spark):
     rows = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 1, 0), (1, 2, 1), (1, 2, 0)], "item_id long, doc_id long, necessary int")
     assert {(r.doc_id, r.necessary) for r in judging.majority(rows).collect()} == {(1, 1), (2, 0)}
@@ -312,12 +320,184 @@ def test_readers_and_writers(spark, tmp_path):
     r = spark.createDataFrame([("Q01", 2, "b", 0.1234567), ("Q01", 1, "a", 0.5)], "question_id string, rank int, chunk_id string, score double")
     sinks.ranking_file(r, str(tmp_path / "runs"))
     line = spark.read.json(str(tmp_path / "runs")).first()
-    assert [(x.rank, x.chunk_id, x.score) for x in line.retrieved] == [(1, "a", 0.5), (2, "b", 0.123457)]
+    assert [(x.rank, x.chunk_id, x.score) for x in line.questions[0].retrieved] == [(1, "a", 0.5), (2, "b", 0.123457)]
     (tmp_path / "t.md").write_text("a\r\nb")
     assert S.whole_texts(spark, str(tmp_path / "t.md")).first().text == "a\nb"
     assert not sinks.is_stale(r, r) and sinks.is_stale(r, r.limit(1))
 
 
+@pytest.fixture
+def small_index(spark):
+    texts = ["# A\n\none two\n\n| k | v |\n|---|---|\n| a | 1 |", "<Note>b</Note>", "<Note>b</Note> "]
+    records = segment.chunk_records(segment.greedy_chunks(docs(spark, texts), markdown=True))
+    vectors = records.select("id").withColumn("embedding", F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>"))
+    numbered = vectors.withColumn("vec_id", F.split_part("id", F.lit(":"), F.lit(1)).cast("long"))
+    return records, vectors, provenance.manifest("c" * 64, records, numbered, "hashed-terms")
+
+
+def test_an_index_is_read_as_it_was_written(spark, small_index, tmp_path):
+    records, vectors, manifest = small_index
+    path = str(tmp_path / "index")
+    sinks.index(manifest, records, vectors, path)
+    m, chunks, back = S.index(spark, path, "c" * 64, "hashed-terms")
+    assert (m["n_chunks"], m["embedding_dim"], m["normalized"], m["token_limit"]) == (3, 2, True, 254) and set(m["versions"]) == set(provenance.LIBRARIES)
+    assert sorted(chunks.collect()) == sorted(records.withColumn("slug", F.lit(None).cast("string")).select(*chunks.columns).collect()) and back.count() == 3
+    assert sorted(r.id for r in spark.read.json(f"{path}/duplicate_groups").collect()) == ["1:c000", "2:c000"]
+    for bad in ({"corpus_sha256": "d" * 64}, {"model": "another"}):
+        with pytest.raises(guards.GuardError):
+            S.index(spark, path, **bad)
+    vectors.limit(2).write.mode("overwrite").parquet(f"{path}/vectors")
+    with pytest.raises(guards.GuardError, match="left only"):
+        S.index(spark, path)
+
+
+def test_vectors_have_one_hash_whatever_their_partitions(spark):
+    v = spark.createDataFrame([(i, [i / 7, -0.5]) for i in range(3000)], "vec_id long, embedding array<float>")
+    one_ = provenance.vector_fingerprint(v).first()
+    assert provenance.vector_fingerprint(v.repartition(7)).first() == one_ != provenance.vector_fingerprint(v.limit(2999)).first()
+
+
+GOLD = """# Gold
+
+## Q01
+
+**Question:** What?
+**Type:** fact
+**Answerable:** Yes
+**Gold chunks:** `doc-02:c001`, `doc-01:c002`
+**Gold answer:** This
+and that.
+**Not covered because:** n/a
+**Authorship:** question=human, answer=human
+
+## Q02
+
+**Question:** Why?
+**Type:**
+**Answerable:** no
+**Gold chunks:**
+**Gold answer:**
+**Not covered because:** nothing says so
+**Authorship:** question=human, answer=none
+"""
+
+
+def test_a_gold_set_is_written_the_same_each_time(spark, tmp_path):
+    entries = S.parsed_gold(spark.createDataFrame([(GOLD,)], "text string"))
+    ids = spark.createDataFrame([("doc-02:c001",), ("doc-01:c002",)], "chunk_id string")
+    manifest, path = {"corpus_sha256": "c" * 64, "n_chunks": 2}, str(tmp_path / "gold")
+    sinks.gold_file(audit.checked_gold(entries, ids, 2), manifest, path)
+    assert sinks.gold_is_current(entries.repartition(3), manifest, path)
+    assert not sinks.gold_is_current(entries, manifest | {"n_chunks": 3}, path)
+    corpus, back = S.gold_set(spark, path)
+    rows = back.collect()
+    assert corpus == "c" * 64 and [r.id for r in rows] == ["Q01", "Q02"] and rows[0].gold_docs == ["doc-01", "doc-02"] and rows[0].gold_answer == "This and that." and rows[1].type is None
+    counts = spark.read.json(path).first().counts
+    assert (counts.questions, counts.answerable, counts.unanswerable, counts.gold_chunks_total, counts.multi_chunk_answerable) == (2, 1, 1, 2, 1) and counts.answer_author.asDict() == {"human": 1, "none": 1}
+
+
+def test_gold_that_is_wrong_is_refused(spark):
+    ids = spark.createDataFrame([("doc-02:c001",), ("doc-01:c002",)], "chunk_id string")
+    read = lambda text: S.parsed_gold(spark.createDataFrame([(text,)], "text string"))
+    found = {(r.id, r.violation) for r in audit.gold_violations(read(GOLD.replace("## Q02", "## Q03")), ids, 3).collect()}
+    assert found == {("Q03", "stands where Q02 is due"), ("", "2 entries, not 3")}
+    with pytest.raises(guards.GuardError):
+        audit.checked_gold(read(GOLD.replace("doc-01:c002", "doc-01:c009")), ids)
+    with pytest.raises(Exception, match="no Authorship"):
+        read(GOLD.replace("**Authorship:** question=human, answer=none", "")).collect()
+
+
+def test_runs_say_what_they_are_of(spark, tmp_path):
+    r = spark.createDataFrame([("Q01", 2, "b", 0.25), ("Q01", 1, "a", 0.5), ("Q02", 1, "c", None)], "question_id string, rank int, chunk_id string, score double")
+    path = str(tmp_path / "run")
+    sinks.ranking_file(r, path, {"variant": "dense", "corpus_sha256": "c" * 64, "top": 20})
+    header = S.run_header(spark, path)
+    assert header == {"variant": "dense", "corpus_sha256": "c" * 64, "vectors_sha256": None, "model": None, "top": 20}
+    assert [tuple(x) for x in S.rankings(spark, path, "dense").orderBy("question_id", "rank").collect()] == [("dense", "Q01", 1, "a", 0.5), ("dense", "Q01", 2, "b", 0.25), ("dense", "Q02", 1, "c", None)]
+    with pytest.raises(guards.GuardError):
+        guards.same_fingerprint(header["corpus_sha256"], "d" * 64, "gold and run")
+
+
+def test_lists_must_reach_the_cutoff(spark):
+    r = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 1)], "variant string, item_id long, rank int")
+    guards.lists_reach(r.filter("item_id = 1"), 2)
+    for rows, k in ((r, 2), (r, 0)):
+        with pytest.raises(guards.GuardError):
+            guards.lists_reach(rows, k)
+
+
+def test_combined_file_verifies_its_markers(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"p{i}", f"# T{i}\n" + "line\n" * (i * 7 % 5)) for i in range(1, 13)], "n long, slug string, text string")
+    lines = segment.combined_lines(pages, ["# All", ""])
+    got = [r.line for r in lines.orderBy("line_no").collect()]
+    expected = ["# All", ""]
+    for i in range(1, 13):
+        expected += ["", f"@@PAGE {i:02d}/12 :: p{i}", "", f"# T{i}", *["line"] * (i * 7 % 5)]
+    assert got == expected and [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(1, len(expected) + 1))
+    markers = lines.filter(F.col("line").startswith("@@PAGE"))
+    assert sorted(r.line_no for r in markers.collect()) == sorted(r.body_line for r in segment.combined_offsets(pages.select("n", "text"), 2).collect())
+    sinks.combined_file(lines, markers, str(tmp_path / "all"))
+    with pytest.raises(guards.GuardError):
+        sinks.combined_file(lines, markers.withColumn("line_no", F.col("line_no") + 1), str(tmp_path / "all"))
+
+
+def test_deep_ranks_are_those_of_a_sort(spark, monkeypatch):
+    import random
+
+    from glintmill.operators import ordered
+
+    monkeypatch.setattr(ordered, "BUCKET", 10)
+    rng = random.Random(4)
+    rows = [(q, d, rng.choice([0.0, 0.0, -0.3, 0.25, rng.random() / 1000, rng.random() * 9])) for q in (1, 2) for d in range(120)]
+    got = {(r.q, r.d): r.rank for r in ordered.deep_ranks(spark.createDataFrame(rows, "q long, d long, score double"), "q", "d").collect()}
+    for q in (1, 2):
+        order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        assert [got[q, d] for _, d, _ in order] == list(range(1, 121))
+
+
+def test_depth_of_gold_is_that_of_a_sort(spark):
+    scores = spark.createDataFrame([(1, 3, 2.0), (1, 5, 2.0), (1, 8, 1.0), (2, 0, 1.0)], "item_id long, doc_id long, score double")
+    d = docs(spark, ["x"] * 10)
+    gold = spark.createDataFrame([(1, 5), (1, 8), (1, 0), (1, 4), (1, 9), (2, 9), (3, 2)], "item_id long, doc_id long")
+    got = {(r.item_id, r.doc_id): r["rank"] for r in R.depth_of(scores, d, gold).collect()}
+    assert got == {(1, 5): 2, (1, 8): 3, (1, 0): 4, (1, 4): 7, (1, 9): 10, (2, 9): 10, (3, 2): 3}
+
+
+def test_gold_is_found_whatever_the_question_is_made_of(spark):
+    """Parts of words at its ends, other scripts, signs only, capitals, repeats; an empty question is in nothing."""
+    texts = ["bobcat satin here", "Bobcat Satin", "中文字", "a中文b", "?!", "x ?! y", "", None, "cat sat cat sat"]
+    asked = [(0, "cat sat"), (1, "中文"), (2, "?!"), (3, ""), (4, "Cat Sat"), (5, "zebra"), (6, "cat sat cat")]
+    got = {(r.item_id, r.doc_id) for r in evaluation.gold_by_containment(docs(spark, texts), spark.createDataFrame(asked, "item_id long, question string")).collect()}
+    assert got == {(i, d) for i, q in asked for d, t in enumerate(texts) if q and t and q in t}
+
+
+def test_restatements_with_signs_only(spark):
+    keys = spark.createDataFrame([(1, "--"), (2, "b.md"), (2, "É"), (3, "lph")], "id long, key string")
+    gold = spark.createDataFrame([], "item_id long, doc_id long")
+    found = {(r.id, r.doc_id) for r in audit.restatements(docs(spark, ["x -- y", "B.MD é", "ab.mdx --É", "ALPHA"]), keys, gold).collect()}
+    assert found == {(1, 0), (1, 2), (2, 1), (2, 2), (3, 3)}
+
+
+def test_document_frequency_of_documents_in_several_rows(spark):
+    d = spark.createDataFrame([(1, "hook"), (1, "hooks bus"), (2, "hooks"), (3, "hook hooks"), (4, None)], "doc_id long, text string")
+    assert {r.term: r.df for r in lexical.document_frequency(d).collect()} == {"hook": 3, "bus": 1}
+    one_row = d.filter("doc_id > 1")
+    assert {r.term: r.df for r in lexical.document_frequency(one_row).collect()} == {"hook": 2}
+
+
+def test_kept_frames_follow_their_tables(spark, tmp_path):
+    from glintmill.sources import holding
+
+    path = str(tmp_path / "documents.parquet")
+    make = lambda: holding.kept(spark, str(tmp_path), "n", lambda: spark.read.parquet(path).selectExpr("count(*) AS n"), ("documents",)).first().n
+    spark.range(3).write.parquet(path)
+    assert make() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert make() == 5
+    holding.release(spark)
+    assert make() == 5
+
+
 def test_an_empty_type_does_not_take_the_next_line(spark):
     body = "\n**Type:**\n**Source:** x\n"
     assert one(spark, S.gold_field(F.lit(body), "Type")) is None
@@ -358,6 +538,22 @@ def test_reports(spark):
         report.markdown(df, ["n"], most=1)
     diffs = spark.createDataFrame([("x-y", "m", True), ("x-z", "m", False)], "comparison string, metric string, excludes_zero boolean")
     assert report.confidence(df.withColumn("metric", F.lit("m")), diffs).endswith("1 of 2 exclude zero.\n")
+    whole = report.confidence(df.withColumn("metric", F.lit("m")), diffs, seeds=spark.createDataFrame([(7, 0.5)], "seed int, lo double"), needed=spark.createDataFrame([("m", 106)], "metric string, needed long"))
+    assert "## Under other seeds\n\n| seed | lo |\n|---|---|\n| 7 | 0.500 |" in whole and "| m | 106 |" in whole and "drawn as one" not in whole
+
+
+def test_baseline_report(spark, scored):
+    from glintmill.operators import report
+
+    text = report.baseline(evaluation.aggregate(scored), scored, {"variant": "a", "corpus_sha256": "c" * 64, "model": "m", "top": 4})
+    assert "Corpus `cccccccccccccccc`" in text and "| recall_3 | 0.250 |" in text and "1 of 2 have no gold in the first ten" in text and "undefined" in text.splitlines()[-1]
+
+
+def test_inspection(spark, small_index):
+    from glintmill.operators import report
+
+    text = report.inspection(segment.inspected(small_index[0], ("1",), ("<Note",)))
+    assert text.count("## `") == 3 and "document 1" in text and "<Note> region" in text and "block_type=prose" in text and "**text_embed**\n```\nb\n```" in text
 
 
 def test_interval_of_reciprocal_ranks(spark):
