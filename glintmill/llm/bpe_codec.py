@@ -19,7 +19,7 @@ from glintmill.llm import common, tokenizer_files
 
 CACHE_WORDS = 600_000
 CACHE_PAIRS = 2_000_000
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 60
 #: Below this code point the letters, digits and spaces of all Unicode versions agree.
 PLAIN_BELOW = "ɐ"
@@ -183,7 +183,7 @@ def codec(file: str) -> PrefixCodec:
 def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
 
-    A null text is empty: no ids, both hashes those of the empty string. A null doc_id stays null; repeated rows each
+    A null text is empty: no ids, both hashes those of the empty string. A doc_id may be of any type, a null one stays null; repeated rows each
     give a row; further columns are ignored; an empty table gives no rows.
     """
     common.python_batches(docs.sparkSession)
@@ -195,7 +195,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {common.kind(docs, 'doc_id')}, {SCHEMA}")
 
 
 def encode_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -207,4 +207,4 @@ def encode_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return common.pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return common.pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {common.kind(docs, 'doc_id')}, ids array<int>")

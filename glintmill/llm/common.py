@@ -84,6 +84,11 @@ def place(columns: list[str], name: str) -> int:
     raise ValueError(f"no column {name} among {columns}")
 
 
+def kind(df: DataFrame, name: str) -> str:
+    """The type of a column, as a schema has it: ids go through an operator as they come."""
+    return df.schema[place(df.columns, name)].dataType.simpleString()
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by place: further columns may repeat or clash with any name."""
     places = [place(df.columns, n) for n in names]

@@ -64,7 +64,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     Of equal windows the first counts. Words are runs of letters and digits in lower case. A document shorter than an item
     is one window. Null and empty texts, and items of under five words, match nothing. Rows with the same doc_id, null
     included, count as one document. Repeated items with different ids each match. Further columns are ignored; an empty
-    table on either side gives no rows.
+    table on either side gives no rows. Runs of items of up to ``broadcast_rows`` are broadcast, more are shuffled; the result is the same.
     """
     scored = _scored(docs, benchmark, similarity, broadcast_rows)
     best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best"))

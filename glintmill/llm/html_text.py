@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from glintmill.llm import common
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+SCHEMA = "url string, text string, n_chars long"
 # Tags that begin and end blocks, tags without an end, and tags whose content is no text of the page.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -455,7 +455,7 @@ def main_text(page: str | None, model: Field) -> str:
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (main text blocks joined by newlines, empty if none), n_chars (code points).
 
-    A null html is empty. Text without any markup is one block. A null page_id or url stays null; repeated rows each give a
+    A null html is empty. Text without any markup is one block. A page_id may be of any type; a null page_id or url stays null; repeated rows each give a
     row; further columns are ignored; an empty table gives no rows. Time is linear in the length of a page, unclosed markup
     included.
     """
@@ -467,4 +467,4 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
             texts = [main_text(h, model) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return common.pick(pages, "page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return common.pick(pages, "page_id", "url", "html").mapInArrow(run, f"page_id {common.kind(pages, 'page_id')}, {SCHEMA}")

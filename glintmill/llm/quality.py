@@ -145,13 +145,13 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([score(t, model) for t in batch.column(2).to_pylist()], pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = common.pick(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(run, f"doc_id {common.kind(docs, 'doc_id')}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """:func:`learn`, then :func:`scored` for every row of ``docs``.
 
-    Null doc_ids aren't held out and get rows; repeated rows each give a row; labels that are null, not 0 or 1, or of no
+    A doc_id may be of any type that is shown as text. Null doc_ids aren't held out and get rows; repeated rows each give a row; labels that are null, not 0 or 1, or of no
     document teach nothing; with labels of one sort only every text with a word scores alike; further columns are
     ignored; an empty table gives no rows.
     """

@@ -276,7 +276,7 @@ def _components(rows: DataFrame, near: bool = False) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other. A null doc_id keeps its row, and
+    Null, empty and blank texts have fingerprint zero and are linked like any other. A doc_id may be of any type with an order. A null doc_id keeps its row, and
     takes part in links, but is no component's id unless all ids of it are null. Repeated rows each give a row; further
     columns are ignored; an empty table gives no rows.
     """
@@ -326,4 +326,4 @@ def _keyed_prints(flat: DataFrame, doc_id, text, near: bool = True) -> DataFrame
                 prints = np.hstack([prints, np.array([near_prints(t) for t in texts], np.uint64).reshape(-1, len(_NEAR))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c).view(np.int64), pa.int64()) for c in prints.T)], names=["doc_id", "a", "b", *longs])
 
-    return flat.select(doc_id.alias("doc_id"), "a", "b", text.alias("text")).mapInArrow(run, "doc_id long, a long, b long, " + ", ".join(f"{n} long" for n in longs))
+    return flat.select(doc_id.alias("doc_id"), "a", "b", text.alias("text")).mapInArrow(run, f"doc_id {common.kind(flat.select(doc_id.alias('doc_id')), 'doc_id')}, a long, b long, " + ", ".join(f"{n} long" for n in longs))

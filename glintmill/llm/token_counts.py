@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from glintmill.llm import common, tokenizer_files
 
 CACHE_WORDS = 1_000_000
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+SCHEMA = "n_bytes long, n_tokens long, over_limit boolean"
 #: Below this code point the letters, digits and spaces of all Unicode versions agree and NFC changes nothing.
 PLAIN_BELOW = "ɐ"
 _SHIFT = 20
@@ -139,7 +139,7 @@ def counter(file: str) -> WordCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
-    A null text is empty (0, 0, false); a null doc_id stays null; repeated rows each give a row; further columns are
+    A null text is empty (0, 0, false); a doc_id may be of any type, a null one stays null; repeated rows each give a row; further columns are
     ignored; an empty table gives no rows. ``vocabulary`` is the file's path on the executors.
     """
     common.python_batches(docs.sparkSession)
@@ -154,4 +154,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return common.pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {common.kind(docs, 'doc_id')}, {SCHEMA}")
