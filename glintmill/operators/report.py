@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def inspection(picked: DataFrame, most: int = 10) -> str:
     return "# Chunks\n\n" + "\n".join(out)
 
 
+def shown_path(path: str, root: str) -> str:
+    """Relative to ``root`` where it lies below it, as it is elsewhere."""
+    return str(Path(path).relative_to(root)) if Path(path).is_relative_to(root) else path
+
+
 def corpus_index(docs: DataFrame, corpus_sha256: str, top: DataFrame) -> str:
     """The index of a corpus: its hash, the share of the largest documents, a row a document."""
     share = top.first()

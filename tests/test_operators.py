@@ -307,6 +307,58 @@ def test_a_question_whose_ranking_is_all_gold_raises(spark):
     assert judging.pools(gold.filter("item_id = 2"), ranking).count() == 3
 
 
+def test_labelling_goes_on_where_it_stopped(spark, tmp_path):
+    from glintmill.operators import labelling
+
+    pools = spark.createDataFrame([(q, p, f"{q}-{p}", f"text {p}") for q in ("Q01", "Q02", "Q03") for p in (1, 2, 3)], "question_id string, place int, chunk_id string, text string")
+    asked = spark.createDataFrame([(q, f"What {q}?", "This.") for q in ("Q01", "Q02", "Q03")], "question_id string, question string, gold_answer string")
+    path, said = str(tmp_path / "labels"), []
+
+    def session(answers, only=None):
+        left = iter(answers)
+        return labelling.label_pools(pools, asked, path, only, lambda _: next(left), said.append)
+
+    assert session(["", "1 9", "1 3", "q"]) == 1 and said[1:3] == ["  blank", "  out of range"] and "What Q01?" in said[0] and "[3] Q01-3" in said[0]
+    assert session(["none"], "Q03") == 1 and session(["2"]) == 1 and session([]) == 0
+    assert {(r.question_id, r.chunk_id) for r in S.label_file(spark, path).filter("necessary = 1").collect()} == {("Q01", "Q01-1"), ("Q01", "Q01-3"), ("Q02", "Q02-2")} and S.label_file(spark, path).count() == 9
+    for only in ("Q01", "Q09"):
+        with pytest.raises(ValueError):
+            session([], only)
+
+
+def test_pages_are_fetched_and_failures_kept(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from glintmill.sources.web import fetch_pages
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.path == "/docs/a.md" and self.headers["User-Agent"].startswith("glintmill")
+            self.send_response(200 if known else 404)
+            self.end_headers()
+            self.wfile.write("# Ä\n".encode() if known else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    slugs = spark.createDataFrame([("a",), ("b",)], "slug string")
+    got = {r.slug: (r.text, r.error) for r in fetch_pages(slugs, f"http://127.0.0.1:{server.server_port}/docs").collect()}
+    server.shutdown()
+    server.server_close()
+    assert got == {"a": ("# Ä\n", None), "b": (None, "HTTP 404")}
+    gone = fetch_pages(slugs, f"http://127.0.0.1:{server.server_port}/docs", timeout=2).collect()
+    assert all(r.text is None and r.error for r in gone) and len(gone) == 2
+
+
+def test_shown_paths():
+    from glintmill.operators.report import shown_path
+
+    assert shown_path("/a/b/c.json", "/a") == "b/c.json" and shown_path("/tmp/x.json", "/a") == "/tmp/x.json"
+
+
 def test_majority(spark):
     rows = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 1, 0), (1, 2, 1), (1, 2, 0)], "item_id long, doc_id long, necessary int")
     assert {(r.doc_id, r.necessary) for r in judging.majority(rows).collect()} == {(1, 1), (2, 0)}
