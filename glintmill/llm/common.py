@@ -43,8 +43,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it again. What was written goes when the driver ends, if not before."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    delete_at_end(spark, path)
     df.write.parquet(path)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glintmill_path = path
     return out
@@ -63,11 +63,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Has ``path`` deleted when the driver's JVM ends in order."""
+    """Has ``path``, which must be there, deleted when the driver's JVM ends in order."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(at.getParent())
-    spark._jvm.org.apache.hadoop.fs.FileSystem.get(files.getUri(), spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def text_key(doc_id, text) -> F.Column:

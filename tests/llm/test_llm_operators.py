@@ -40,6 +40,17 @@ def test_query_is_its_sql(name, against_sql):
     against_sql(queries()[name], oracle_sql()[name])
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as N
+
+    made = lambda master, folder=None: N(sparkContext=N(getConf=lambda: N(get=lambda _: folder), master=master, applicationId="x"), conf=N(get=lambda _, d: d))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            common.shared_folder(made(master))
+        assert common.shared_folder(made(master, "hdfs://h/c/")) == "hdfs://h/c"
+    assert common.shared_folder(made("local[4]")).startswith("file://")
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, TEXT string, text string")
     assert common.pick(df, "doc_id", "text").first().text == "b"
