@@ -129,9 +129,9 @@ def write_shards(docs: DataFrame, path: str, byte_limit: int = BYTE_LIMIT) -> Da
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, coalesce(doc_id::VARCHAR, '') AS key,
   lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT), {HALF}, '0') || lpad(bin(('0x' || substr(md5(coalesce(text, '')), 1, 12))::BIGINT), {HALF}, '0') AS bits FROM documents),
-sums AS (SELECT depth, substr(bits, 1, depth) AS shard, sum(n_bytes)::BIGINT AS shard_bytes FROM d, (SELECT unnest(range(0, {BITS + 1}))::INT AS depth) GROUP BY 1, 2),
-fit AS (SELECT rid, arg_min(struct_pack(depth := depth, shard := shard, shard_bytes := shard_bytes), depth) AS best
-  FROM d JOIN sums ON shard = substr(bits, 1, depth) WHERE shard_bytes <= {QUERY_LIMIT} GROUP BY rid),
+dd AS (SELECT rid, depth, substr(bits, 1, depth) AS shard, n_bytes FROM d, (SELECT unnest(range(0, {BITS + 1}))::INT AS depth)),
+sums AS (SELECT *, (sum(n_bytes) OVER (PARTITION BY depth, shard))::BIGINT AS shard_bytes FROM dd),
+fit AS (SELECT rid, arg_min(struct_pack(depth := depth, shard := shard, shard_bytes := shard_bytes), depth) AS best FROM sums WHERE shard_bytes <= {QUERY_LIMIT} GROUP BY rid),
 paged AS (SELECT rid, bits, key, n_bytes, (row_number() OVER (PARTITION BY doc_id, bits, n_bytes ORDER BY rid) - 1) // greatest(1, {QUERY_LIMIT} // greatest(n_bytes, 1)) AS page FROM d WHERE rid NOT IN (SELECT rid FROM fit)),
 pages_ AS (SELECT rid, bits || '+' || ('0x' || substr(md5(key), 1, 8))::BIGINT || '.' || page AS shard, (sum(n_bytes) OVER (PARTITION BY key, bits, n_bytes, page))::BIGINT AS shard_bytes FROM paged)
 SELECT doc_id, coalesce(best.shard, p.shard) AS shard, coalesce(best.depth, {BITS}) AS depth, n_bytes, coalesce(best.shard_bytes, p.shard_bytes) AS shard_bytes FROM d LEFT JOIN fit USING (rid) LEFT JOIN pages_ p USING (rid)"""
