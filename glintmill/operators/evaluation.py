@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintmill.operators.lexical import anchors, candidates
-from glintmill.sources.tables import beside
+from glintmill.sources.tables import beside, few
 
 CUT = 10
 METRICS = ("recall_3", "recall_10", "precision_3", "reciprocal_rank")
@@ -17,9 +17,12 @@ METRICS = ("recall_3", "recall_10", "precision_3", "reciprocal_rank")
 def gold_by_containment(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(item_id, doc_id): documents that contain the text of a question (item_id, question); an empty one is contained in none.
 
-    Candidates come from postings, by the rarest of what the question's text must bring along; their texts are looked at.
+    Few questions are looked for in every text, as it is read. Of many, candidates come from postings, by the rarest of what the question's text must
+    bring along; their texts are looked at.
     """
     q = questions.filter("question <> ''")
+    if few(q):
+        return docs.join(F.broadcast(q), F.col("text").contains(F.col("question"))).select("item_id", "doc_id").distinct()
     near = candidates(docs, q.select(F.col("item_id").alias("id"), F.explode(anchors(F.col("question"))).alias("anchor")))
     with_words = docs.join(beside(near), "doc_id").join(beside(q), F.col("id") == F.col("item_id")).filter(F.col("text").contains(F.col("question"))).select("item_id", "doc_id")
     # A question without a letter or digit of ASCII has no postings: each such is looked for in every text.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join of at most so many rows is broadcast, after a count; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
+#: Up to so many patterns, each text is searched for every one as it is read. The words of a corpus grow with it, so comparing patterns with them costs more.
+FEW = 2_000
 
 # Fixed formats: the fields of chunk, ranking and label files.
 CHUNK_SCHEMA = "id string, doc_id string, slug string, text_raw string, text_embed string, char_start long, char_end long, chars_raw long, tokens_embed int, block_type string, sha256 string, sha256_norm string"
@@ -23,6 +25,10 @@ def beside(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) a file; line ends are made ``\\n``."""
     read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))

@@ -307,6 +307,29 @@ def test_a_question_whose_ranking_is_all_gold_raises(spark):
     assert judging.pools(gold.filter("item_id = 2"), ranking).count() == 3
 
 
+def test_few_questions_are_looked_for_in_each_text_without_postings(spark):
+    """What is compared with the vocabulary grows with questions times words: no text may be taken apart for a few questions."""
+    d = docs(spark, ["one two three", "Two THREE one", "two"])
+    q = spark.createDataFrame([(1, "two three"), (2, "two"), (3, "")], "item_id long, question string")
+    gold = evaluation.gold_by_containment(d, q)
+    assert {(r.item_id, r.doc_id) for r in gold.collect()} == {(1, 0), (2, 0), (2, 2)}
+    keys = spark.createDataFrame([(1, k) for k in ("one", "two", "three", "tw", "hre", "e", "o", "ne")] + [(2, "two")], "id long, key string")
+    found = audit.restatements(d, keys, gold)
+    assert {(r.id, r.doc_id) for r in found.collect()} == {(1, 1), (2, 1)}
+    for df in (gold, found):
+        assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_questions_give_the_same_by_postings(spark, monkeypatch):
+    d = docs(spark, ["one two three", "Two THREE one", "two"])
+    q = spark.createDataFrame([(1, "two three"), (2, "two")], "item_id long, question string")
+    monkeypatch.setattr(S, "FEW", 1)
+    gold = evaluation.gold_by_containment(d, q)
+    assert {(r.item_id, r.doc_id) for r in gold.collect()} == {(1, 0), (2, 0), (2, 2)}
+    keys = spark.createDataFrame([(1, "one"), (1, "hre"), (2, "two")], "id long, key string")
+    assert {(r.id, r.doc_id) for r in audit.restatements(d, keys, gold).collect()} == {(1, 1), (2, 1)}
+
+
 def test_labelling_goes_on_where_it_stopped(spark, tmp_path):
     from glintmill.operators import labelling
 
