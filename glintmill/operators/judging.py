@@ -12,10 +12,10 @@ def _draw(*parts) -> F.Column:
     return F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, (int, str)) else p.cast("string") for p in parts]).cast("binary"))
 
 
-def pools(gold: DataFrame, ranking: DataFrame, seed: int = SEED, least: int = LEAST) -> DataFrame:
+def pools(gold: DataFrame, ranking: DataFrame, seed: int = SEED, least: int = LEAST, short: bool = False) -> DataFrame:
     """(item_id, place, doc_id, gold): all gold of a question and max(least, n_gold) others from its own ranking, drawn and shuffled by hashes.
 
-    A question without gold has no pool; one whose ranking has too few others raises when read.
+    A question without gold has no pool; one whose ranking has too few others raises when read, or with ``short`` gets all that there are.
     """
     gold = gold.select("item_id", "doc_id").distinct()
     n = gold.groupBy("item_id").agg(F.count("*").alias("n_gold"))
@@ -24,12 +24,15 @@ def pools(gold: DataFrame, ranking: DataFrame, seed: int = SEED, least: int = LE
     w = Window.partitionBy("item_id")
     want = F.greatest(F.lit(least), F.col("n_gold"))
     drawn = others.withColumn("i", F.row_number().over(w.orderBy(_draw(seed, q, d), "doc_id"))).filter(F.col("i") <= want)
+    both = gold.select("item_id", "doc_id", F.lit(True).alias("gold")).union(drawn.select("item_id", "doc_id", F.lit(False)))
+    placed = F.row_number().over(w.orderBy(_draw(seed, "shuffle", q, d), "doc_id"))
+    if short:
+        return both.withColumn("place", placed).select("item_id", "place", "doc_id", "gold")
     # Counted from the gold: a ranking without any other has no row to raise at.
     enough = n.join(others.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
     ok = F.when(F.coalesce("n", F.lit(0)) >= want, True).otherwise(F.raise_error(F.concat(F.lit("too few others to draw from: "), F.col("item_id").cast("string"))).cast("boolean"))
-    both = gold.select("item_id", "doc_id", F.lit(True).alias("gold")).union(drawn.select("item_id", "doc_id", F.lit(False)))
     both = both.join(enough.select("item_id", ok.alias("ok")), "item_id").filter("ok")
-    return both.withColumn("place", F.row_number().over(w.orderBy(_draw(seed, "shuffle", q, d), "doc_id"))).select("item_id", "place", "doc_id", "gold")
+    return both.withColumn("place", placed).select("item_id", "place", "doc_id", "gold")
 
 
 def with_text(pool: DataFrame, docs: DataFrame) -> DataFrame:

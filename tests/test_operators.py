@@ -307,6 +307,14 @@ def test_a_question_whose_ranking_is_all_gold_raises(spark):
     assert judging.pools(gold.filter("item_id = 2"), ranking).count() == 3
 
 
+def test_a_short_pool_holds_all_that_there_is(spark):
+    gold = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (2, 22)], "item_id long, doc_id long")
+    ranking = spark.createDataFrame([(1, 10), *[(2, d) for d in range(20, 25)]], "item_id long, doc_id long")
+    pool = judging.pools(gold, ranking, short=True)
+    assert {(r.item_id, r.doc_id, r.gold) for r in pool.collect()} == {(1, 10, True), *[(2, d, d < 23) for d in range(20, 25)]}
+    assert sorted(r.place for r in pool.filter("item_id = 2").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_few_questions_are_looked_for_in_each_text_without_postings(spark):
     """What is compared with the vocabulary grows with questions times words: no text may be taken apart for a few questions."""
     d = docs(spark, ["one two three", "Two THREE one", "two"])
