@@ -10,6 +10,7 @@ from glintmill.operators import provenance as P
 from glintmill.operators import retrieval as R
 from glintmill.operators.evaluation import gold_by_containment
 from glintmill.operators.fingerprint import corpus_fingerprint
+from glintmill.operators.nearest import dense_top
 from glintmill.operators.ordered import deep_ranks
 from glintmill.plans import sql
 from glintmill.sources.holding import kept
@@ -92,7 +93,7 @@ def vector_norms(spark, d):
 def dense_hits(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    return R.ranked(R.dense(e.select("vec_id", "embedding"), q).filter("q <> vec_id"), "q", "vec_id", 20)
+    return dense_top(e, q, 20)
 
 
 def dense_topk(spark, d):

@@ -1,5 +1,7 @@
 """Small cases, worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +309,27 @@ def test_a_question_whose_ranking_is_all_gold_raises(spark):
     assert judging.pools(gold.filter("item_id = 2"), ranking).count() == 3
 
 
+@pytest.mark.parametrize("wave", [1 << 22, 40])
+def test_dense_top_is_that_of_all_pairs(spark, monkeypatch, wave):
+    """No row for every pair: candidates are picked in the tasks, ties and odd vectors included."""
+    from glintmill.operators import nearest
+
+    monkeypatch.setattr(nearest, "WAVE", wave)
+    draw = random.Random(7)
+    made = [[float(draw.randint(-2, 2)) / 3 for _ in range(5)] for _ in range(120)]
+    made[3], made[50], made[51], made[52], made[80] = None, [1.0, None, 0.0, 0.0, 0.0], [1.0], [float("inf"), 0.0, 0.0, 0.0, 1.0], made[20]
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    want = R.ranked(R.dense(v, q).filter("q <> vec_id"), "q", "vec_id", 7)
+    got = nearest.dense_top(v, q, 7)
+    key = lambda df: sorted((r.q, r["rank"], r.vec_id, str(r.score)) for r in df.select("q", "rank", "vec_id", "score").collect())
+    assert key(got) == key(want)
+    few = nearest.dense_top(v.filter("vec_id < 4"), q, 7)
+    assert {(r.q, r.vec_id) for r in few.collect()} == {(a, b) for a in range(0, 120, 10) for b in range(4) if a != b}
+    clean = nearest.dense_top(v.filter("vec_id > 90"), q.filter("q > 90"), 7)
+    assert "NestedLoop" not in clean._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in clean._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_short_pool_holds_all_that_there_is(spark):
     gold = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (2, 22)], "item_id long, doc_id long")
     ranking = spark.createDataFrame([(1, 10), *[(2, d) for d in range(20, 25)]], "item_id long, doc_id long")
