@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glintmill.operators import retrieval as R
+from glintmill.operators import scored
 from glintmill.operators import segment as S
 from glintmill.plans import sql
 from glintmill.plans.retrieval import docs_of, questions
@@ -70,14 +70,14 @@ def chunk_sample(spark, d):
 
 
 def chunk_bm25_topk(spark, d):
-    docs, q = embedded(spark, d), questions(spark, d)
-    top = R.ranked(R.with_unscored(R.bm25(docs, q), q, docs, TOP), "item_id", "doc_id", TOP)
+    docs = embedded(spark, d)
+    top = scored.top_scores(docs, scored.Asked(docs, questions(spark, d)), TOP)
     return top.select("item_id", "rank", F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
 def chunk_dense_topk(spark, d):
-    docs, q = embedded(spark, d), questions(spark, d)
-    return R.ranked(R.dense_by_terms(docs, q), "item_id", "doc_id", TOP).select("item_id", "rank", F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"))
+    docs = embedded(spark, d)
+    return scored.top_scores(docs, scored.Asked(docs, questions(spark, d)), TOP, dense=True).select("item_id", "rank", F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
 QUERIES = [doc_units, markdown_chunks, chunk_types, chunk_share, chunk_sample, chunk_lookup, chunk_bm25_topk, chunk_dense_topk]

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from glintmill.functions import text as T
 from glintmill.operators import provenance as P
 from glintmill.operators import retrieval as R
+from glintmill.operators import scored
 from glintmill.operators.evaluation import gold_by_containment
 from glintmill.operators.fingerprint import corpus_fingerprint
 from glintmill.operators.nearest import dense_top
-from glintmill.operators.ordered import deep_ranks
 from glintmill.plans import sql
 from glintmill.sources.holding import kept
 from glintmill.sources.tables import table
@@ -33,36 +33,17 @@ def keyword_scores(spark, d, degraded: bool) -> DataFrame:
     return kept(spark, d, f"bm25-{degraded}", lambda: R.bm25(docs_of(spark, d), questions(spark, d, degraded)))
 
 
-def keyword_top(spark, d, degraded: bool, top: int = 20) -> DataFrame:
-    q = questions(spark, d, degraded)
-    return R.ranked(R.with_unscored(keyword_scores(spark, d, degraded), q, docs_of(spark, d), top), "item_id", "doc_id", top)
-
-
-def fused(spark, d, degraded: bool) -> DataFrame:
-    """Both lists at full depth, then fused: cutting them first would change the result."""
-    q, docs = questions(spark, d, degraded), docs_of(spark, d)
+def asked(spark, d, degraded: bool) -> scored.Asked:
+    return scored.Asked(docs_of(spark, d), questions(spark, d, degraded))
 
-    def make():
-        dense = deep_ranks(R.dense_by_terms(docs, q), "item_id", "doc_id")
-        keyword = deep_ranks(R.full_depth(keyword_scores(spark, d, degraded), q, docs), "item_id", "doc_id")
-        return R.rrf([dense, keyword])
 
-    return kept(spark, d, f"fused-{degraded}", make)
+def keyword_top(spark, d, degraded: bool, top: int = 20) -> DataFrame:
+    return scored.top_scores(docs_of(spark, d), asked(spark, d, degraded), top)
 
 
 def runs(spark, d) -> DataFrame:
     """variant, item_id, doc_id, score, rank: the first 20 of each variant for degraded questions."""
-
-    def make():
-        q, docs = questions(spark, d, True), docs_of(spark, d)
-        each = {"bm25": keyword_top(spark, d, True), "dense": R.ranked(R.dense_by_terms(docs, q), "item_id", "doc_id", 20), "hybrid": R.ranked(fused(spark, d, True), "item_id", "doc_id", 20)}
-        out = None
-        for variant, df in each.items():
-            df = df.select(F.lit(variant).alias("variant"), "item_id", "doc_id", "score", "rank")
-            out = df if out is None else out.unionByName(df)
-        return out
-
-    return kept(spark, d, "runs", make)
+    return kept(spark, d, "runs", lambda: scored.variants(docs_of(spark, d), asked(spark, d, True), 20))
 
 
 def bm25_stats(spark, d):
@@ -78,7 +59,7 @@ def bm25_idf(spark, d):
 
 
 def bm25_scores(spark, d):
-    return R.full_depth(keyword_scores(spark, d, False), questions(spark, d), docs_of(spark, d)).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return scored.full_scores(docs_of(spark, d), asked(spark, d, False)).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, d):
@@ -110,11 +91,11 @@ def hash_embed(spark, d):
 
 
 def rrf_scores(spark, d):
-    return fused(spark, d, False).select("item_id", "doc_id", F.round("score", 9).alias("score"))
+    return scored.fused_scores(docs_of(spark, d), asked(spark, d, False)).select("item_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 def hybrid_topk(spark, d):
-    return R.ranked(fused(spark, d, False), "item_id", "doc_id", 20).select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+    return scored.variants(docs_of(spark, d), asked(spark, d, False), 20).filter("variant = 'hybrid'").select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 def gold_depth(spark, d):

@@ -25,6 +25,12 @@ def beside(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python workers are bounded in rows and bytes, since texts can be long. The session keeps this."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def few(df: DataFrame) -> bool:
     return df.limit(FEW + 1).count() <= FEW
 

@@ -330,6 +330,34 @@ def test_dense_top_is_that_of_all_pairs(spark, monkeypatch, wave):
     assert "NestedLoop" not in clean._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in clean._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scores_in_tasks_are_those_of_joins(spark, monkeypatch):
+    from glintmill.operators import scored
+
+    monkeypatch.setattr(scored, "CELLS", 20)
+    monkeypatch.setattr(scored, "REMEMBERED", 5)
+    draw = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "K\u0130ng", "\u212aelvin", "x1", "123", "eps"]
+    d = docs(spark, [" ".join(draw.choice(words) for _ in range(draw.randint(0, 12))) for _ in range(60)] + [None, "alpha"]).repartition(3)
+    q = spark.createDataFrame([(1, ["alpha", "beta", "beta"]), (2, ["kelvin", "none"]), (3, []), (4, ["eps"])], "item_id long, terms array<string>")
+    asked = scored.Asked(d, q)
+    keyword, dense = R.full_depth(R.bm25(d, q), q, d), R.dense_by_terms(d, q)
+    key = lambda df, *names: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("item_id", "doc_id", "score", *names).collect())
+    assert key(scored.full_scores(d, asked)) == key(keyword)
+    fused = R.rrf([R.ranked(keyword, "item_id", "doc_id"), R.ranked(dense, "item_id", "doc_id")])
+    assert key(scored.fused_scores(d, asked)) == key(fused)
+    tops = scored.variants(d, asked, 7)
+    for name, scores in (("bm25", keyword), ("dense", dense), ("hybrid", fused)):
+        want = key(R.ranked(scores, "item_id", "doc_id", 7), "rank")
+        assert key(tops.filter(F.col("variant") == name), "rank") == want
+        if name != "hybrid":
+            assert key(scored.top_scores(d, asked, 7, dense=name == "dense"), "rank") == want
+    named = d.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert key(scored.top_scores(named, scored.Asked(named, q), 7), "rank") == key(R.ranked(R.full_depth(R.bm25(named, q), q, named), "item_id", "doc_id", 7), "rank")
+    with pytest.raises(ValueError, match="empty corpus"):
+        scored.Asked(d.limit(0), q)
+    assert "Join" not in scored.fused_scores(d, asked)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_short_pool_holds_all_that_there_is(spark):
     gold = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (2, 22)], "item_id long, doc_id long")
     ranking = spark.createDataFrame([(1, 10), *[(2, d) for d in range(20, 25)]], "item_id long, doc_id long")
