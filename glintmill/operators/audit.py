@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintmill.operators import guards
-from glintmill.operators.lexical import anchors, candidates, document_frequency, plural_fold, term_rows, vocabulary
+from glintmill.operators.lexical import anchors, candidates, document_frequency, plural_fold, related, term_rows
 from glintmill.operators.ordered import ranked_in_buckets, running_total
 from glintmill.sources.tables import beside, few
 
@@ -18,13 +18,17 @@ RARE_DF, BROAD, FLAG_TERMS = 12, 20, 3
 
 
 def shared_terms(docs: DataFrame, questions: DataFrame, gold: DataFrame) -> DataFrame:
-    """(item_id, term, df): folded terms that a question shares with its gold documents, with their document frequency."""
-    vocab = vocabulary(docs)
+    """(item_id, term, df): folded terms that a question shares with its gold documents, with their document frequency.
+
+    Of the corpus only words are counted that decide how a question's terms fold.
+    """
+    only = beside(related(term_rows(questions, "item_id", "question").select("term").distinct()))
+    vocab = term_rows(docs).select("term").join(only, "term", "left_semi").distinct()
     fold = lambda rows, key: plural_fold(rows, vocab).select(key, F.col("folded").alias("term")).distinct()
     asked = fold(term_rows(questions, "item_id", "question").distinct(), "item_id")
-    held = fold(term_rows(docs.join(beside(gold.select("doc_id").distinct()), "doc_id", "left_semi")).distinct(), "doc_id")
+    held = fold(term_rows(docs.join(beside(gold.select("doc_id").distinct()), "doc_id", "left_semi")).join(only, "term", "left_semi").distinct(), "doc_id")
     pairs = gold.join(held, "doc_id").select("item_id", "term").distinct()
-    return asked.join(pairs, ["item_id", "term"]).join(document_frequency(docs), "term").select("item_id", "term", "df")
+    return asked.join(pairs, ["item_id", "term"]).join(document_frequency(docs, only), "term").select("item_id", "term", "df")
 
 
 def leak_flags(shared: DataFrame, df_max: int, least: int = FLAG_TERMS) -> DataFrame:

@@ -25,8 +25,16 @@ def plural_fold(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return terms.withColumn("stem", stem).join(singular, F.col("stem") == F.col("singular"), "left").withColumn("folded", F.coalesce("singular", "term")).drop("stem", "singular")
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """(term, df): documents that hold a folded term; rows of one doc_id are one document.
+def related(terms: DataFrame) -> DataFrame:
+    """(term): what decides how ``terms`` fold and what folds to them: themselves, with an s, and without one or two at their ends."""
+    cut = lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.substr(t, F.lit(1), F.length(t) - 1))
+    t = F.col("term")
+    return terms.select(F.explode(F.array_compact(F.array(t, F.concat(t, F.lit("s")), cut(t), cut(cut(t))))).alias("term")).distinct()
+
+
+def document_frequency(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, df): documents that hold a folded term; rows of one doc_id are one document. With ``only`` (term) no others are counted; it must hold
+    whatever is :func:`related` to the terms that are asked for.
 
     Each document's terms are made distinct, and the pairs of a plural and its singular that it holds are counted, on the spot. Documents of a
     term and of its plural, less those of both, are the documents of the folded term, so nothing but terms with counts is shuffled. Where
@@ -38,7 +46,10 @@ def document_frequency(docs: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", F.explode("ts").alias("t")).groupBy("doc_id").agg(F.collect_set("t").alias("ts"))
     both = F.filter("ts", lambda t: (F.length(t) > 3) & t.endswith("s") & F.array_contains(F.col("ts"), F.substr(t, F.lit(1), F.length(t) - 1)))
     each = rows.select(F.explode(F.concat(F.transform("ts", lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("b"))), F.transform(both, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("b"))))).alias("x"))
-    counted = hold(each.groupBy("x.term").agg(F.sum("x.d").alias("d"), F.sum("x.b").alias("b")))
+    each = each.select("x.*")
+    if only is not None:
+        each = each.join(beside(only), "term", "left_semi")
+    counted = hold(each.groupBy("term").agg(F.sum("d").alias("d"), F.sum("b").alias("b")))
     folded = plural_fold(counted, counted.select("term"))
     return folded.groupBy(F.col("folded").alias("term")).agg((F.sum("d") - F.sum(F.when(F.col("term") != F.col("folded"), F.col("b")).otherwise(0))).alias("df"))
 

@@ -358,6 +358,17 @@ def test_scores_in_tasks_are_those_of_joins(spark, monkeypatch):
     assert "Join" not in scored.fused_scores(d, asked)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_frequency_of_what_is_asked_is_that_of_all(spark):
+    """Words of the corpus that no question's term folds to aren't counted."""
+    d = docs(spark, ["clas class classs", "class classs cat", "cats dogs", "other words cat cats", "dogss"])
+    terms = spark.createDataFrame([(t,) for t in ("class", "classs", "cat", "dogs", "none")], "term string")
+    whole = {r.term: r["df"] for r in lexical.document_frequency(d).collect()}
+    part = {r.term: r["df"] for r in lexical.document_frequency(d, lexical.related(terms)).collect()}
+    asked = {"clas", "class", "classs", "cat", "dogs", "dog", "none"}
+    assert {t: n for t, n in part.items() if t in asked} == {t: n for t, n in whole.items() if t in asked}
+    assert "words" in whole and "words" not in part
+
+
 def test_a_short_pool_holds_all_that_there_is(spark):
     gold = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (2, 22)], "item_id long, doc_id long")
     ranking = spark.createDataFrame([(1, 10), *[(2, d) for d in range(20, 25)]], "item_id long, doc_id long")
