@@ -18,7 +18,7 @@ from glintmill.functions import markup as M
 from glintmill.functions import plain as P
 from glintmill.functions import text as T
 from glintmill.operators.ordered import order_statistics, running_total
-from glintmill.sources.tables import beside
+from glintmill.sources.tables import beside, small_batches
 
 BUDGET = 254
 CUT = 2 * BUDGET
@@ -201,6 +201,7 @@ def greedy_chunks(docs: DataFrame, markdown: bool = False) -> DataFrame:
                     rows.append((doc_id, i, f"{doc_id}:c{i:03d}", c[0].start, c[-1].end, n, block_type(c), text[c[0].start : c[-1].end], shown))
             yield pd.DataFrame(rows, columns=["doc_id", "idx", "chunk_id", "char_start", "char_end", "n_tokens", "block_type", "text", "text_embed"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, CHUNK_SCHEMA)
 
 
@@ -224,6 +225,7 @@ def units(docs: DataFrame) -> DataFrame:
             rows = [(d, i, u.start, u.end, u.kind, u.tokens, u.glue, u.shown) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for i, u in enumerate(fitting(markdown_units(t or ""), t or ""))]
             yield pd.DataFrame(rows, columns=["doc_id", "pos", "start", "end", "kind", "n_tokens", "glue", "shown"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, UNIT_SCHEMA)
 
 

@@ -358,6 +358,15 @@ def test_scores_in_tasks_are_those_of_joins(spark, monkeypatch):
     assert "Join" not in scored.fused_scores(d, asked)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chunks_are_made_in_small_batches(spark):
+    """A worker holds the chunks of one batch: of ten thousand texts these are gigabytes."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    segment.greedy_chunks(docs(spark, ["one"])).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+
+
 def test_frequency_of_what_is_asked_is_that_of_all(spark):
     """Words of the corpus that no question's term folds to aren't counted."""
     d = docs(spark, ["clas class classs", "class classs cat", "cats dogs", "other words cat cats", "dogss"])
