@@ -18,6 +18,7 @@ from glintmill.functions import markup as M
 from glintmill.functions import plain as P
 from glintmill.functions import text as T
 from glintmill.operators.ordered import order_statistics, running_total
+from glintmill.sources.holding import hold
 from glintmill.sources.tables import beside, small_batches
 
 BUDGET = 254
@@ -277,7 +278,9 @@ def systematic(rows: DataFrame, stratum: str, key: str, size: int) -> DataFrame:
 
 def density(docs: DataFrame, kind: str) -> DataFrame:
     """Characters a token by kind: mean, median, the value at a tenth of the sorted list, least; texts without tokens are left out."""
-    r = docs.select(kind, F.length("text").alias("c"), T.token_count(F.col("text")).alias("t")).filter("t > 0").withColumn("ratio", F.col("c") / F.col("t"))
+    # Held before it is filtered: three figures read it, and texts are counted once.
+    counted = hold(docs.select(kind, F.length("text").alias("c"), T.token_count(F.col("text")).alias("t")))
+    r = counted.filter("t > 0").select(kind, (F.col("c") / F.col("t")).alias("ratio"))
     n = F.col("n")
     at = order_statistics(r, kind, "ratio", {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "tenth": F.floor(n * 0.1)})
     plain = r.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg(F.col("ratio").cast("decimal(20,12)")).cast("double"), 6).alias("mean"), F.round(F.min("ratio"), 6).alias("least"))

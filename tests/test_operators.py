@@ -367,6 +367,21 @@ def test_chunks_are_made_in_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
 
 
+def test_density_counts_texts_once(spark):
+    d = docs(spark, ["a b", "abc", "x y z"]).withColumn("lang", F.lit("en"))
+    df = segment.density(d, "lang")
+    assert "InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    row = df.first()
+    assert (row.n, row.least) == (3, 1.5) and row.median == 1.666667
+
+
+def test_token_count_is_that_of_the_pattern(spark):
+    texts = ["", " \t\x0b", "ab1 c\u00e9d \U0001f600\u00a0x_y--z\r\n$1 \\a", "e\u0301 \u0130 \u200b", None]
+    df = docs(spark, texts).select(T.token_count(F.col("text")).alias("a"), F.coalesce(F.regexp_count("text", F.lit(T.TOKEN)), F.lit(0)).alias("b"))
+    assert [r.a for r in df.collect()] == [r.b for r in df.collect()]
+    assert "regexp_count" not in df.select("a")._jdf.queryExecution().analyzed().toString().split("AS a")[0]
+
+
 def test_frequency_of_what_is_asked_is_that_of_all(spark):
     """Words of the corpus that no question's term folds to aren't counted."""
     d = docs(spark, ["clas class classs", "class classs cat", "cats dogs", "other words cat cats", "dogss"])
