@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintmill.operators import guards
 from glintmill.operators.lexical import anchors, candidates, document_frequency, plural_fold, related, term_rows
 from glintmill.operators.ordered import ranked_in_buckets, running_total
+from glintmill.operators.seeking import holding_all
 from glintmill.sources.tables import beside, few
 
 # Fixed pattern: slash commands, flags, file names, camel case.
@@ -62,18 +61,11 @@ def answer_keys(answers: DataFrame, frequency: DataFrame, vocab: DataFrame) -> D
 def restatements(docs: DataFrame, keys: DataFrame, gold: DataFrame) -> DataFrame:
     """(id, doc_id): documents outside the gold that hold every key of a question, in any case. A question without keys has none.
 
-    Few questions are looked for in every text, as it is read, the longest key first; nothing but hits is shuffled. Of many, candidates come from postings.
+    Few questions are looked for in every text, as it is read; nothing but hits is shuffled. Of many, candidates come from postings.
     """
     sets = keys.groupBy("id").agg(F.collect_set(F.lower("key")).alias("keys"))  # keys of one answer
     if few(sets):
-        longest = F.transform(F.array_sort(F.transform("keys", lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda x: x["k"])
-        asked = sets.filter(F.size("keys") > 0).select("id", longest.alias("keys"))
-        # The first keys as columns, which are compiled; a lambda isn't.
-        asked = F.broadcast(asked.select("id", *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(6)], F.slice("keys", 7, 1 << 30).alias("more")))
-        within = lambda i: F.col(f"k{i}").isNull() | F.col("low").contains(F.col(f"k{i}"))
-        holds = reduce(lambda a, b: a & b, [within(i) for i in range(6)])
-        holds = holds & ((F.size("more") == 0) | F.forall("more", lambda k: F.col("low").contains(k)))
-        pairs = docs.select("doc_id", F.lower("text").alias("low")).join(asked, holds).select("id", "doc_id").distinct()
+        pairs = holding_all(docs, sets)
         return pairs.join(gold.select(F.col("item_id").alias("id"), "doc_id"), ["id", "doc_id"], "left_anti")
     sets = beside(sets)
     holds = F.forall("keys", lambda k: F.lower("text").contains(k))

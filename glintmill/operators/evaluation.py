@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintmill.operators.lexical import anchors, candidates
+from glintmill.operators.seeking import containing
 from glintmill.sources.tables import beside, few
 
 CUT = 10
@@ -22,7 +23,7 @@ def gold_by_containment(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """
     q = questions.filter("question <> ''")
     if few(q):
-        return docs.join(F.broadcast(q), F.col("text").contains(F.col("question"))).select("item_id", "doc_id").distinct()
+        return containing(docs, q)
     near = candidates(docs, q.select(F.col("item_id").alias("id"), F.explode(anchors(F.col("question"))).alias("anchor")))
     with_words = docs.join(beside(near), "doc_id").join(beside(q), F.col("id") == F.col("item_id")).filter(F.col("text").contains(F.col("question"))).select("item_id", "doc_id")
     # A question without a letter or digit of ASCII has no postings: each such is looked for in every text.

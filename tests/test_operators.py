@@ -731,3 +731,28 @@ def test_interval_of_reciprocal_ranks(spark):
     values_ = spark.createDataFrame([(v, i, m, x) for v, i, m, _, x in rows], "k string, cluster long, metric string, value double")
     r = bootstrap.intervals(values_, ["k"], reps=400).first()
     assert r.mean == pytest.approx(sum(1.0 / x for x in ranks if x) / len(ranks), abs=1e-6) and r.lo < r.mean < r.hi
+
+
+def test_texts_are_not_compared_with_each_question(spark):
+    """Work that grows with texts times questions is a nested loop in the plan."""
+    d = docs(spark, ["one two three", "Two THREE one", "two"])
+    gold = evaluation.gold_by_containment(d, spark.createDataFrame([(1, "two three")], "item_id long, question string"))
+    found = audit.restatements(d, spark.createDataFrame([(1, "one"), (1, "hre")], "id long, key string"), gold)
+    assert [(r.id, r.doc_id) for r in found.collect()] == [(1, 1)]
+    for df in (gold, found):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seeking_by_runs_is_seeking_each(monkeypatch):
+    from glintmill.operators import seeking
+
+    monkeypatch.setattr(seeking, "REMEMBERED", 7)
+    monkeypatch.setattr(seeking, "SHORT", 6)
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("ab1 -é") for _ in range(rng.randrange(n))).encode()
+    for _ in range(800):
+        passages, sets = [some(8) for _ in range(6)], [[some(6) for _ in range(rng.randrange(4))] for _ in range(6)]
+        passage, keys = seeking.Passages(passages).finder(), seeking.KeySets(sets).finder()
+        for text in (some(40), some(6) + rng.choice(passages) + some(6), b"".join(k + some(3) for k in sets[0])):
+            assert sorted(passage(text)) == [i for i, p in enumerate(passages) if p and p in text]
+            assert sorted(keys(text)) == [i for i, s in enumerate(sets) if s and all(k in text for k in s)]
