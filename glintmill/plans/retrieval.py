@@ -13,7 +13,7 @@ from glintmill.operators.evaluation import gold_by_containment
 from glintmill.operators.fingerprint import corpus_fingerprint
 from glintmill.operators.nearest import dense_top
 from glintmill.plans import sql
-from glintmill.sources.holding import kept
+from glintmill.sources.holding import hold, kept
 from glintmill.sources.tables import table
 
 def questions(spark, d, degraded: bool = False) -> DataFrame:
@@ -29,10 +29,6 @@ def gold(spark, d) -> DataFrame:
     return kept(spark, d, "gold", lambda: gold_by_containment(docs_of(spark, d), questions(spark, d).select("item_id", "question")))
 
 
-def keyword_scores(spark, d, degraded: bool) -> DataFrame:
-    return kept(spark, d, f"bm25-{degraded}", lambda: R.bm25(docs_of(spark, d), questions(spark, d, degraded)))
-
-
 def asked(spark, d, degraded: bool) -> scored.Asked:
     return scored.Asked(docs_of(spark, d), questions(spark, d, degraded))
 
@@ -99,12 +95,16 @@ def hybrid_topk(spark, d):
 
 
 def gold_depth(spark, d):
-    deep = R.depth_of(keyword_scores(spark, d, True), docs_of(spark, d), gold(spark, d))
+    deep = R.depth_of(R.bm25(docs_of(spark, d), questions(spark, d, True)), docs_of(spark, d), gold(spark, d))
     return deep.groupBy("item_id").agg(F.min("rank").alias("depth"))
 
 
 def ranking_drift(spark, d):
-    return R.drift(keyword_top(spark, d, False), keyword_top(spark, d, True))
+    """Whole and degraded questions are ranked together, so each text is read twice and not four times."""
+    named = lambda mark, degraded: questions(spark, d, degraded).select(F.concat(F.lit(mark), F.col("item_id").cast("string")).alias("item_id"), "terms")
+    top = hold(scored.top_scores(docs_of(spark, d), scored.Asked(docs_of(spark, d), named("w", False).union(named("d", True))), 20))
+    of = lambda mark: top.filter(F.col("item_id").startswith(mark)).withColumn("item_id", F.substring("item_id", 2, 99).cast("long"))
+    return R.drift(of("w"), of("d"))
 
 
 def index_consistency(spark, d):

@@ -756,3 +756,12 @@ def test_seeking_by_runs_is_seeking_each(monkeypatch):
         for text in (some(40), some(6) + rng.choice(passages) + some(6), b"".join(k + some(3) for k in sets[0])):
             assert sorted(passage(text)) == [i for i, p in enumerate(passages) if p and p in text]
             assert sorted(keys(text)) == [i for i, s in enumerate(sets) if s and all(k in text for k in s)]
+
+
+def test_drift_reads_the_corpus_twice(spark, sf_dir, monkeypatch):
+    from glintmill.operators import scored
+    from glintmill.plans import retrieval as plans
+
+    asked, count = [], scored.Asked._count
+    monkeypatch.setattr(scored.Asked, "_count", lambda *a: asked.append(1) or count(*a))
+    assert plans.ranking_drift(spark, sf_dir).columns == ["item_id", "first_difference"] and len(asked) == 1
