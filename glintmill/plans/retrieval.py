@@ -95,8 +95,7 @@ def hybrid_topk(spark, d):
 
 
 def gold_depth(spark, d):
-    deep = R.depth_of(R.bm25(docs_of(spark, d), questions(spark, d, True)), docs_of(spark, d), gold(spark, d))
-    return deep.groupBy("item_id").agg(F.min("rank").alias("depth"))
+    return scored.depths(docs_of(spark, d), asked(spark, d, True), gold(spark, d))
 
 
 def ranking_drift(spark, d):

@@ -758,6 +758,21 @@ def test_seeking_by_runs_is_seeking_each(monkeypatch):
             assert sorted(keys(text)) == [i for i, s in enumerate(sets) if s and all(k in text for k in s)]
 
 
+def test_depths_are_counted_without_ranking(spark, monkeypatch):
+    from glintmill.operators import scored
+
+    monkeypatch.setattr(scored, "CELLS", 20)
+    draw = random.Random(3)
+    d = docs(spark, [" ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(draw.randint(0, 5))) for _ in range(80)] + [None]).repartition(3)
+    q = spark.createDataFrame([(1, ["alpha", "beta"]), (2, ["none"]), (3, []), (4, ["delta"])], "item_id long, terms array<string>")
+    gold = spark.createDataFrame([(1, 7), (1, 60), (2, 9), (3, 70), (3, 80), (1, 7)], "item_id long, doc_id long")
+    ranks = R.ranked(R.full_depth(R.bm25(d, q), q, d), "item_id", "doc_id").join(gold, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("depth"))
+    for rows, wanted in ((d, gold), (d.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0")), gold.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0")))):
+        got = scored.depths(rows, scored.Asked(rows, q), wanted)
+        assert {(r.item_id, r.depth) for r in got.collect()} == {(r.item_id, r.depth) for r in ranks.collect()}
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_drift_reads_the_corpus_twice(spark, sf_dir, monkeypatch):
     from glintmill.operators import scored
     from glintmill.plans import retrieval as plans
