@@ -1,19 +1,23 @@
-"""Few questions, looked for in every text as it is read: by the runs of ASCII letters and digits that a text has, not question by question.
+"""Few questions, looked for in every text as it is read, not question by question.
 
-A text is taken apart once, so the work grows with the texts; a question costs a look at its own runs, and a search only where these are found.
-Texts are compared as bytes of UTF-8. Nothing but hits leaves a task.
+Passages are looked for by eight bytes of each, at all places of many texts at once. Sets of keys are looked for by the runs of ASCII letters and
+digits that a text has: it is taken apart once, and a set costs a look at its own runs, and a search only where these are found. So the work grows
+with the texts. Texts are compared as bytes of UTF-8. Nothing but hits leaves a task.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from glintmill.operators.wordwise import parts
 from glintmill.sources.tables import small_batches
 
 #: Runs whose keys a task remembers, and how long such a run may be.
@@ -25,27 +29,46 @@ _RUN = re.compile(rb"[A-Za-z0-9]+")
 _APART = bytes(c if _RUN.match(bytes([c])) else 32 for c in range(256))
 
 
+#: Bytes by which a passage is looked for, bits of the table of these, and a factor that spreads them.
+WINDOW, BITS, SPREAD = 8, 18, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _spread(windows: np.ndarray) -> np.ndarray:
+    return (windows * SPREAD) >> np.uint64(64 - BITS)
+
+
 class Passages:
     """Texts that are looked for as they are; an empty one is in none."""
 
     def __init__(self, passages: list[bytes]) -> None:
-        self.by_run: dict[bytes, list[tuple[int, bytes, set[bytes]]]] = {}
-        self.bare: list[tuple[int, bytes]] = []
+        self.at: dict[bytes, list[tuple[int, int, bytes]]] = {}
+        self.bare = [(i, p) for i, p in enumerate(passages) if 0 < len(p) < WINDOW]
+        usual = Counter(p[a : a + 4] for p in passages for a in range(len(p) - 3))
         for i, p in enumerate(passages):
-            # A run at an end may go on in the text that holds the passage; others are runs of that text.
-            inner = {p[m.start() : m.end()] for m in _RUN.finditer(p) if m.start() > 0 and m.end() < len(p)}
-            if inner:
-                self.by_run.setdefault(max(inner, key=lambda r: (len(r), r)), []).append((i, p, inner))
-            elif p:
-                self.bare.append((i, p))
+            if len(p) >= WINDOW:  # by the bytes that are least like those of the others; any would do
+                a = min(range(len(p) - WINDOW + 1), key=lambda a: usual[p[a : a + 4]] + usual[p[a + 4 : a + 8]])
+                self.at.setdefault(p[a : a + WINDOW], []).append((i, a, p))
+        self.table = np.zeros(1 << BITS, dtype=bool)
+        self.table[_spread(np.frombuffer(b"".join(self.at), "<u8"))] = True
 
     def finder(self) -> Callable[[bytes], list[int]]:
-        return self.found
-
-    def found(self, text: bytes) -> list[int]:
-        runs = set(text.translate(_APART).split())
-        out = [i for r in self.by_run.keys() & runs for i, p, inner in self.by_run[r] if inner <= runs and p in text]
-        return out + [i for i, p in self.bare if p in text]
+        return lambda text: [i for i, _ in self.found(text, np.array([0, len(text)]))]
+
+    def found(self, data: bytes, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, text) of what is in texts that lie one after another."""
+        out = set()
+        for shift in range(WINDOW if self.at else 0):
+            n = (len(data) - shift) // WINDOW
+            if n <= 0:
+                break
+            hits = np.flatnonzero(self.table[_spread(np.frombuffer(data, "<u8", n, shift))]) * WINDOW + shift
+            for here, row in zip(hits.tolist(), (np.searchsorted(bounds, hits, side="right") - 1).tolist(), strict=True):
+                for i, a, p in self.at.get(data[here : here + WINDOW], ()):
+                    if here - a >= bounds[row] and here - a + len(p) <= bounds[row + 1] and data.startswith(p, here - a):
+                        out.add((i, row))
+        for i, p in self.bare:
+            out.update((i, row) for row in range(len(bounds) - 1) if data.find(p, bounds[row], bounds[row + 1]) >= 0)
+        return sorted(out)
 
 
 class _Within(dict):
@@ -108,7 +131,11 @@ def _sought(docs: DataFrame, text, ids: list, item: str, id_type, sought: Passag
         ids, sought = sent.value
         items, find = pa.array(ids, arrow), sought.finder()
         for batch in batches:
-            hits = [(i, row) for row, t in enumerate(batch.column(1)) if t.is_valid for i in find(t.as_py())]
+            if isinstance(sought, Passages):  # in null there is none, as it has no bytes
+                bounds, data = parts(batch.column(1).fill_null(b""))
+                hits = sought.found(bytes(data), bounds)
+            else:
+                hits = [(i, row) for row, t in enumerate(batch.column(1)) if t.is_valid for i in find(t.as_py())]
             if hits:
                 which, rows = (pa.array(x, pa.int64()) for x in zip(*hits, strict=True))
                 yield pa.RecordBatch.from_arrays([items.take(which), batch.column(0).take(rows)], names=[item, "doc_id"])

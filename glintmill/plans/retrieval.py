@@ -29,8 +29,8 @@ def gold(spark, d) -> DataFrame:
     return kept(spark, d, "gold", lambda: gold_by_containment(docs_of(spark, d), questions(spark, d).select("item_id", "question")))
 
 
-def asked(spark, d, degraded: bool) -> scored.Asked:
-    return scored.Asked(docs_of(spark, d), questions(spark, d, degraded))
+def asked(spark, d, degraded: bool, keep: bool = False) -> scored.Asked:
+    return scored.Asked(docs_of(spark, d), questions(spark, d, degraded), keep)
 
 
 def keyword_top(spark, d, degraded: bool, top: int = 20) -> DataFrame:
@@ -39,7 +39,7 @@ def keyword_top(spark, d, degraded: bool, top: int = 20) -> DataFrame:
 
 def runs(spark, d) -> DataFrame:
     """variant, item_id, doc_id, score, rank: the first 20 of each variant for degraded questions."""
-    return kept(spark, d, "runs", lambda: scored.variants(docs_of(spark, d), asked(spark, d, True), 20))
+    return kept(spark, d, "runs", lambda: scored.variants(docs_of(spark, d), asked(spark, d, True, keep=True), 20))
 
 
 def bm25_stats(spark, d):
@@ -91,7 +91,7 @@ def rrf_scores(spark, d):
 
 
 def hybrid_topk(spark, d):
-    return scored.variants(docs_of(spark, d), asked(spark, d, False), 20).filter("variant = 'hybrid'").select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+    return scored.variants(docs_of(spark, d), asked(spark, d, False, keep=True), 20).filter("variant = 'hybrid'").select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 def gold_depth(spark, d):

@@ -780,3 +780,64 @@ def test_drift_reads_the_corpus_twice(spark, sf_dir, monkeypatch):
     asked, count = [], scored.Asked._count
     monkeypatch.setattr(scored.Asked, "_count", lambda *a: asked.append(1) or count(*a))
     assert plans.ranking_drift(spark, sf_dir).columns == ["item_id", "first_difference"] and len(asked) == 1
+
+
+def test_words_in_columns_are_those_of_patterns():
+    import hashlib
+    import re
+
+    import pyarrow as pa
+
+    from glintmill.operators import wordwise
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aZ19 -éİK\n\tß\x1c\x00q") for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", " ", "  abc  ", "x" * 55 + " " + "y" * 56 + " " + "z" * 300]
+    for a in range(0, len(texts), 61):
+        column = pa.array(texts)[a : a + 61]
+        words, at = wordwise.words(column, wordwise.LOWER)
+        real = wordwise.are_terms(words)
+        for row, t in enumerate(column.to_pylist()):
+            want = [w for w in re.findall("[a-z0-9]+", (t or "").lower()) if len(w) >= 3 and not w.isdigit()]
+            assert [w for w, i, k in zip(words.to_pylist(), at, real, strict=True) if k and i == row] == want
+        assert wordwise.hashes(words, {}).tolist() == [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words.to_pylist()]
+    assert [len(x) for x in wordwise.words(pa.array([], pa.string()), wordwise.LOWER)] == [0, 0]
+
+
+def test_passages_are_found_by_eight_bytes():
+    import numpy as np
+
+    from glintmill.operators import seeking
+
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("ab -é") for _ in range(rng.randrange(n))).encode()
+    for _ in range(200):
+        passages = [some(14) for _ in range(8)] + [b"        ", b"aaaaaaaaaa"]
+        whole = [some(30) + rng.choice(passages) + some(9) for _ in range(6)] + [b"", b"a" * 30]
+        cut = rng.choice(passages)  # begins in one text and ends in the next: not found
+        texts = [*whole, some(9) + cut[:4], cut[4:] + some(9)]
+        got = seeking.Passages(passages).found(b"".join(texts), np.cumsum([0, *map(len, texts)]))
+        assert got == [(i, row) for i, p in enumerate(passages) for row, t in enumerate(texts) if p and p in t]
+
+
+def test_heads_of_lists_are_enough_for_fusion(spark, monkeypatch):
+    """Where a list's leading documents stand in the other one is counted; nothing is ranked at full depth, and held texts aren't read again."""
+    from glintmill.operators import scored
+
+    monkeypatch.setattr(scored, "CELLS", 60)
+    draw = random.Random(23)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 9))) for _ in range(150)]
+    d = docs(spark, texts + texts[:40] + [None, ""] * 5).repartition(3)
+    q = spark.createDataFrame([(5, ["alpha", "beta", "beta"]), (6, ["none"]), (7, []), (8, ["eps", "zeta"]), (9, ["gamma"])], "item_id long, terms array<string>")
+    keyword, dense = R.full_depth(R.bm25(d, q), q, d), R.dense_by_terms(d, q)
+    key = lambda df: sorted((r.item_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    ranks = [R.ranked(x, "item_id", "doc_id") for x in (keyword, dense)]
+    kept, again = scored.Asked(d, q, keep=True), scored.Asked(d, q)
+    assert "InMemoryTableScan" in scored.variants(d, kept, 3, k=1)._jdf.queryExecution().executedPlan().toString()
+    for top, k in ((3, 1), (1, 0), (4, 9)):
+        want = [("bm25", keyword), ("dense", dense), ("hybrid", R.rrf(ranks, k))]
+        for asked in (kept, again):
+            got = scored.variants(d, asked, top, k).persist()
+            for name, scores in want:
+                assert key(got.filter(F.col("variant") == name).drop("variant")) == key(R.ranked(scores, "item_id", "doc_id", top).select("item_id", "doc_id", "score", "rank"))
+        assert all(len(n.ids) <= 2 * (k + 2 * top) < 200 and len(n.ids) < 60 for n in scored._near(d, kept, top, k))
